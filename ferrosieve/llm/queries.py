@@ -58,7 +58,7 @@ s AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY row_id
 t AS (SELECT row_id, part, sum(length(line) + 1) - 1 AS len FROM s WHERE NOT blank GROUP BY row_id, part),
 m AS (SELECT row_id, max(len) AS stretch FROM t GROUP BY row_id),
 w AS (SELECT row_id, max(length(line)) AS line FROM l GROUP BY row_id),
-r AS (SELECT row_id, list_max(list_transform(string_split_regex(full_text, '[\t-\r\x1c-\x20\x{85}\p{Z}]+'), x -> length(x))) AS run FROM big)
+r AS (SELECT row_id, list_max(list_transform(string_split_regex(full_text, '[\t-\r\x1c-\x20\x{85}\p{Z}]+'), lambda x: length(x))) AS run FROM big)
 SELECT big.row_id, CASE WHEN coalesce(stretch, 0) <= 2500 THEN 'blank_line' WHEN line <= 2500 THEN 'line' WHEN run <= 2500 THEN 'space' ELSE 'none' END AS cut_at
 FROM big LEFT JOIN m ON m.row_id = big.row_id JOIN w ON w.row_id = big.row_id JOIN r ON r.row_id = big.row_id""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrosieve.llm import p2_ledger, p3_split, p7_canon, p8_encode, p9_pack
+from ferrosieve.llm import p2_ledger, p3_split, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing
 from ferrosieve.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return p3_split.split_documents(table(spark, d, "doc_records"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs.found(table(spark, d, "gen_checkpoint"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_canon.match(table(spark, d, "perception_findings"), table(spark, d, "canon_terms"))
 
@@ -40,7 +44,15 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return p9_pack.pack_texts(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p7_found, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_stuffing.found(table(spark, d, "documents"))
+
+
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return p10_stuffing.evidence(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
 
 # The canonical form of a field: points and commas between digits are kept under two private letters.
 _CANON = r"""replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

@@ -21,6 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 # Strength of boundaries; the weakest are merged first.
 GLUE, RUN, WORD, SENTENCE, LINE, BLANK = range(6)
@@ -155,13 +156,12 @@ def split_text(text: str | None, limit: int = 2500, overlap: int = 250) -> tuple
     return LEVELS[level], pieces
 
 
-_CUT = "cut_at string, pieces array<struct<start:int,end:int>>"
+_CUT = "struct<cut_at:string,pieces:array<struct<start:int,end:int>>>"
 
 
 def cuts(texts: Column, limit: int = 2500, overlap: int = 250) -> Column:
     """Arrow UDF over ``split_text``: struct of cut_at and pieces."""
 
-    @F.arrow_udf(f"struct<{_CUT.replace('cut_at string', 'cut_at:string').replace('pieces array', 'pieces:array')}>")
     def run(col: pa.Array) -> pa.Array:
         levels, starts, ends, offsets = [], [], [], [0]
         for t in col.to_pylist():
@@ -174,7 +174,7 @@ def cuts(texts: Column, limit: int = 2500, overlap: int = 250) -> Column:
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
         return pa.StructArray.from_arrays([pa.array(levels, pa.string()), lists], names=["cut_at", "pieces"])
 
-    return run(texts)
+    return F.arrow_udf(run, _CUT, ArrowUDFType.SCALAR)(texts)
 
 
 def split_documents(df: DataFrame, id_col: str = "row_id", text_col: str = "full_text", limit: int = 2500, overlap: int = 250) -> DataFrame:

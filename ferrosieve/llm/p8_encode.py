@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql import types as T
 
 from ferrosieve.llm.vocabulary import ASCII_PATTERN, PATTERN, TOKENIZER_DIR, Merges, read_merges
@@ -195,7 +196,6 @@ def token_counts(texts: Column, vocabulary: str | None = None) -> Column:
     """Number of tokens of each text; 0 for null and empty texts."""
     path = vocabulary or vocabulary_path()
 
-    @F.arrow_udf("int")
     def count(col: pa.Array) -> pa.Array:
         enc, out = encoder(path), []
         for part in _slices(col.to_pylist()):
@@ -204,4 +204,4 @@ def token_counts(texts: Column, vocabulary: str | None = None) -> Column:
             out.append(np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
         return pa.array(np.concatenate(out).astype(np.int32) if out else [], type=pa.int32())
 
-    return count(texts)
+    return F.arrow_udf(count, "int", ArrowUDFType.SCALAR)(texts)

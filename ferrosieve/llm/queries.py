@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrosieve.llm import p2_ledger, p3_split, p4_history, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing
+from ferrosieve.llm import p2_ledger, p3_split, p4_history, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing
 from ferrosieve.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_history.found(table(spark, d, "doc_records"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_names.found(table(spark, d, "doc_records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs.found(table(spark, d, "gen_checkpoint"))
 
@@ -56,7 +60,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
     return p10_stuffing.evidence(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
 
 # The canonical form of a field: points and commas between digits are kept under two private letters.
 _CANON = r"""replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrosieve.llm import p2_ledger, p3_split, p4_history, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing
+from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing
 from ferrosieve.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_repair.found(table(spark, d, "doc_records"))
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return p1_repair.repaired(table(spark, d, "doc_records"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_ledger.found(table(spark, d, "doc_records"))
 
@@ -60,7 +68,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
     return p10_stuffing.evidence(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
 
 # The canonical form of a field: points and commas between digits are kept under two private letters.
 _CANON = r"""replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

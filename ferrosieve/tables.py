@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR["at"]
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """The file system removes the table when the driver's JVM ends; until then results may read it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -47,4 +54,5 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +58,7 @@ class VectorIndex:
         rows.write.partitionBy("source").parquet(f"{self.path}/{name}")
         draft = self._path(f"{self.path}/CURRENT-{name}")
         stream = self._fs.create(draft, True)
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray(f"{name}\n{rows.schema.json()}".encode()))
         stream.close()
         target = self._path(f"{self.path}/CURRENT")
         if self._fs.exists(target):
@@ -66,10 +67,11 @@ class VectorIndex:
 
     def read(self) -> DataFrame:
         """All records; an empty table where nothing was written yet."""
-        name = self._current()
-        if name is None:
+        current = self._current()
+        if current is None:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        name, _, schema = current.partition("\n")
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/{name}")
 
     def upsert(self, records: DataFrame, replace_parents: bool = False) -> None:
         """Last write wins by id; equal ids within one batch are refused.

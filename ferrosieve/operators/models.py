@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrosieve.config import DEFAULT, NOT_MENTIONED
 from ferrosieve.schemas import EXTRACTION, FINDING_LISTS
@@ -61,7 +62,7 @@ def embed(df: DataFrame, text_col: str = "text", make: Callable[[], Embedder] =
     """``df`` with vectors; the model is made once a task and fed in batches."""
     names = df.columns
     at = names.index(text_col)
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
@@ -108,7 +109,7 @@ def judge(df: DataFrame, score: Callable[[str, str], float], question: str = "qu
     """``df`` with ``name`` in [0, 1] and ``name_reason``; a failed judgement gives null and its message."""
     names = df.columns
     q_at, a_at = names.index(question), names.index(answer)
-    schema = df.schema.add(name, "double").add(f"{name}_reason", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(f"{name}_reason", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ferrosieve.config import DEFAULT
 from ferrosieve.functions.scalars import cosine_distance
@@ -60,6 +61,7 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, id
     total = queries.count()
     id_type = index.schema[id_col].dataType.simpleString()
     query_type = queries.schema[query_id].dataType.simpleString()
+    arrow_type = to_arrow_type(queries.schema[query_id].dataType)
     numbered = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
     blocks = max(1, -(-total // block))
     parts = []
@@ -95,7 +97,7 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, id
                     out_at.append(good)
                     out_d.append(d[good])
                 at = np.concatenate(out_at) if out_at else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), keys.take(pa.array(at)), pa.array(np.concatenate(out_d) if out_d else np.zeros(0))], names=[query_id, id_col, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, arrow_type), keys.take(pa.array(at)), pa.array(np.concatenate(out_d) if out_d else np.zeros(0))], names=[query_id, id_col, "distance"])
 
         parts.append(index.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, f"{query_id} {query_type}, {id_col} {id_type}, distance double"))
     if not parts:

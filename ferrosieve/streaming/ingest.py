@@ -18,7 +18,7 @@ def document_stream(spark: SparkSession, path: str, schema: T.StructType, files_
 
 def stream_ingest(docs: DataFrame, index: VectorIndex, checkpoint: str, time_col: str = "ingested_at", late: str = "30 days", config: EngineConfig = DEFAULT) -> StreamingQuery:
     """Each document once within the watermark; each micro-batch is upserted as a snapshot, so a repeated batch changes nothing."""
-    fresh = docs.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["id"])
+    fresh = docs.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["id"])
 
     def write(batch: DataFrame, _: int) -> None:
         index.upsert(prepare(batch.dropDuplicates(["id"]), config), replace_parents=True)
@@ -28,4 +28,6 @@ def stream_ingest(docs: DataFrame, index: VectorIndex, checkpoint: str, time_col
 
 def arrivals(docs: DataFrame, time_col: str = "ingested_at", late: str = "7 days", width: str = "1 day") -> DataFrame:
     """Documents per source and time window; runs on streams and tables alike."""
+    if docs.isStreaming:  # watermarks need instants
+        docs = docs.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return docs.withWatermark(time_col, late).groupBy(F.window(time_col, width), "source").agg(F.count("*").alias("documents")).select(F.col("window.start").alias("start"), "source", "documents")

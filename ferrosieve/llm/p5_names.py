@@ -268,7 +268,7 @@ def parse_person(name: str) -> tuple[str, str, str, str]:
         for w in surname:
             rest.remove(w)
     given = next((w for w in rest if len(w) > 1), "")
-    root = _root(given, _GIVEN) or given
+    root = _root(given, _GIVEN) or _root(_flat(given), _GIVEN) or _flat(given)
     initials = [w[0] for w in rest if len(w) == 1 or w != given]
     first = root[:1] or (initials[0] if initials else "")
     return "".join(surname), root, first, "".join(initials if root else initials[1:])

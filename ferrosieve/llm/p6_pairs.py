@@ -155,39 +155,56 @@ def end_features(text: str) -> list[str]:
     words = t[-80:].split()
     last, before = (words[-1] if words else ""), (words[-2] if len(words) > 1 else "")
     line = t.rsplit("\n", 1)[-1]
+    if _BULLET.match(line):
+        return ["bullet", "bullet+" + ("open" if core[-1:] in ",;:-" else "closed")]
     sign = core[-1:] if not core[-1:].isalnum() else "a" if core[-1:].isalpha() else "0"
     opened = t.rfind("(") > t.rfind(")")
     return [
-        "sign=" + sign, "bullet" if _BULLET.match(line) else "line", "last=" + re.sub(r"\d", "0", last.lower())[-12:],
+        "sign=" + sign, "line", "last=" + re.sub(r"\d", "0", last.lower())[-12:],
         f"sign+short={sign}{len(last.strip('.()')) <= 4}", "opened=" + sign if opened else "even", f"dots={last.count('.')}{sign}",
-        "sign+before=" + sign + before.lower()[-8:], f"bullet+sign={bool(_BULLET.match(line))}{sign}",
+        "sign+before=" + sign + before.lower()[-8:],
     ]
 
 
-def _training_rows(texts: list[str], seed: int = 11) -> list[tuple[list[str], str]]:
+def training_rows(texts: list[str], seed: int = 11) -> list[tuple[list[str], str]]:
+    """Prefixes of texts that end with a sentence, and prefixes cut elsewhere."""
     rng, rows = random.Random(seed), []
     abbreviations = ["(see e.g.", "(see Fig.", "approx.", "cf.", "i.e.", "(vgl. z. B.", "(p. ej.", "resp.", "e.g."]  # fixed values: ends that no sentence has
     for t in texts:
         ends = [m.start() for m in re.finditer(r"(?<=[.!?。])(?=\s+[A-ZÄÖÜÉÀ¿぀-鿿])", t)]
-        for e in ends[:3]:
-            rows.append((end_features(t[:e]), "whole"))
+        rows += [(end_features(t[:e]), "whole") for e in ends[:4]]
+        if t.rstrip()[-1:] in ".!?。" and not t.rstrip().endswith(tuple(abbreviations)):
+            rows.append((end_features(t), "whole"))
         for _ in range(3):
             cut = rng.randrange(len(t) // 3, len(t)) if len(t) > 30 else 0
-            if cut and not re.search(r"[.!?。\n]\s*$", t[:cut]):
+            if cut and not re.search(r"[.!?。\n]\s*$", t[:cut]) and not _BULLET.match(t[:cut].rsplit("\n", 1)[-1]):
                 rows.append((end_features(t[:cut]), "cut"))
-                rows.append((end_features(t[:cut].rsplit(" ", 1)[0] + " " + rng.choice(abbreviations)), "cut"))
+                if rng.random() < 0.3:
+                    rows.append((end_features(t[:cut].rsplit(" ", 1)[0] + " " + rng.choice(abbreviations)), "cut"))
         lines = t.split("\n")
         if len(lines) > 2 and _BULLET.match(lines[-1]) and _BULLET.match(lines[-2]):
             rows.append((end_features("\n".join(lines[:-1])), "whole"))
+    rows += [(end_features(t), "whole") for t in _WHOLE] * 5 + [(end_features(t), "cut") for t in _CUT] * 5
     rows += [(end_features(f"It was measured.\n- {w}"), "whole") for w in ("recall", "error rate", "frame rate", "loss", "latency")] * 3
     return rows
 
 
+# Whole sentences and unfinished ones that every model is trained on besides the sample.
+_WHOLE = (
+    "The error stays below two per cent.", "It was measured on the road (see Table 2).", "Why does this matter?", "He said that \"it works.\"", "Das Verfahren ist bei Regen stabil.",
+    "La mesure est répétée chaque jour !", "El resultado es bueno.", "精度は高い。", "The result holds for all sensors, as the report states in its last part.",
+)
+_CUT = (
+    "The error stays below two per", "It was measured on the", "According", "Das Verfahren ist bei", "La mesure est répétée, car", "El resultado es", "精度は", "as soon as t", "The result,",
+    "It was measured on the road (see", "shown in Fig.", "the range (approx.", "for several sensors, e.g.",
+)
+
+
 def fit_terminal_model(df: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "pair_id") -> AveragedPerceptron:
     """Terminal-context model from at most ``rows`` answers."""
     sample = df.select("answer").where(F.length("answer") > 60).orderBy(F.xxhash64(F.col(id_col)), "answer").limit(rows).collect()
     texts = [t for (a,) in sample if (t := parse_answer(a)[0]) and len(t) > 60]
-    return AveragedPerceptron(["whole", "cut"]).train(_training_rows(texts))
+    return AveragedPerceptron(["whole", "cut"]).train(training_rows(texts))
 
 
 def defect(question: str | None, answer: str | None, terminal: AveragedPerceptron) -> str | None:

@@ -177,7 +177,7 @@ def training_rows(texts: list[str], seed: int = 11) -> list[tuple[list[str], str
             rows.append((end_features(t), "whole"))
         for _ in range(3):
             cut = rng.randrange(len(t) // 3, len(t)) if len(t) > 30 else 0
-            if cut and not re.search(r"[.!?。\n]\s*$", t[:cut]) and not _BULLET.match(t[:cut].rsplit("\n", 1)[-1]):
+            if cut and not re.search(r"[.!?。\n]\s*$", t[:cut]) and not re.search(r"\n\s*[-*•–\d]", t[:cut]):
                 rows.append((end_features(t[:cut]), "cut"))
                 if rng.random() < 0.3:
                     rows.append((end_features(t[:cut].rsplit(" ", 1)[0] + " " + rng.choice(abbreviations)), "cut"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrosieve.functions.scalars import usable_question
+from ferrosieve.tables import settle
 
 
 def new_documents(fetched: DataFrame, ingested: DataFrame, order: str, key: str = "id") -> DataFrame:
@@ -38,10 +39,23 @@ def keyed_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "left")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the place of each row in a total order, from 1.
+
+    Rows are range-partitioned by the order and numbered within their partition; the offsets are counts of
+    partitions, of which there are few. No partition sees all rows.
+    """
+    parted = settle(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))  # a row per partition
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parted.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_local") + F.col("_offset")).drop("_part", "_local", "_offset")
+
+
 def zip_merge(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Two tables side by side by position, as positional tools do; use ``keyed_merge`` where there is a key."""
-    number = lambda df, order: df.withColumn("_n", F.row_number().over(Window.orderBy(order)))
-    return number(left, left_order).join(number(right, right_order), "_n").drop("_n")
+    return numbered(left, left_order, "_n").join(numbered(right, right_order, "_n"), "_n").drop("_n")
 
 
 def lookup(df: DataFrame, key: str, table: dict[str, str], name: str, default: Column) -> DataFrame:

@@ -37,6 +37,7 @@ SHORT_FORMS = {
     "long-range": ["lr"],
     "measurement": ["meas"],
     "near-infrared": ["nir"],
+    "network": ["net"],
     "optical": ["opt"],
     "polarisation": ["polarization", "pol"],
     "positioning": ["pos"],
@@ -74,14 +75,18 @@ spelled AS (
     (acc, alt) -> flatten(transform(acc, a -> transform(alt, t -> array_append(a, t)))))) AS s FROM choices),
 plural AS (
   SELECT field_name, term_id, explode(array(s, transform(s, (x, i) -> if(i = size(s) - 1, x || 's', x)))) AS s FROM spelled),
+leading AS (
+  SELECT field_name, term_id, slice(s, 1, r) AS s FROM (SELECT field_name, term_id, s, explode(sequence(1, size(s) - 1)) AS r FROM spelled WHERE size(s) > 1 AND field_name IN ({cuts}))),
+parts AS (
+  SELECT field_name, term_id, split(array_join(s, '-'), '-') AS s, 1 AS full FROM plural
+  UNION ALL
+  SELECT field_name, term_id, split(array_join(s, '-'), '-'), 0 FROM leading WHERE length(array_join(s, '')) >= 6),
 turned AS (
-  SELECT field_name, term_id, s, explode(sequence(0, size(s) - 1)) AS r FROM plural),
+  SELECT field_name, term_id, s, full, explode(sequence(0, size(s) - 1)) AS r FROM parts),
 joined AS (
-  SELECT field_name, term_id, array_join(concat(slice(s, r + 1, size(s) - r), slice(s, 1, r)), '') AS t, 1 AS full FROM turned
-  UNION ALL
-  SELECT field_name, term_id, array_join(concat(slice(s, r + 1, size(s) - r), slice(s, 1, r)), '') || 's', 1 FROM turned WHERE r > 0
+  SELECT field_name, term_id, array_join(concat(slice(s, r + 1, size(s) - r), slice(s, 1, r)), '') AS t, full FROM turned
   UNION ALL
-  SELECT field_name, term_id, array_join(slice(s, 1, r), ''), 0 FROM (SELECT field_name, term_id, s, explode(sequence(1, size(s) - 1)) AS r FROM spelled WHERE size(s) > 1 AND field_name IN ({cuts})) WHERE length(array_join(slice(s, 1, r), '')) >= 6
+  SELECT field_name, term_id, array_join(concat(slice(s, r + 1, size(s) - r), slice(s, 1, r)), '') || 's', full FROM turned WHERE r > 0 AND full = 1
   UNION ALL
   SELECT field_name, term_id, array_join(transform(filter(split(array_join(w, '-'), '-'), x -> x NOT IN ({stops})), x -> substring(x, 1, 1)), ''), 2 FROM words WHERE size(split(array_join(w, '-'), '-')) > 2),
 compact AS (SELECT DISTINCT field_name, term_id, regexp_replace(t, '[^0-9a-z]', '') AS form, full FROM joined),
@@ -97,12 +102,12 @@ _ADDITIONS = [
     (r"\\([^()]*\\)|\\[[^\\[\\]]*\\]", " "),
     (r"^[^(\\[]*[)\\]]|[(\\[][^)\\]]*$", " "),
     (r"@\\s*[0-9.]*\\s*hz|^\\s*hz\\b|@\\s*[0-9.]*|\\bhz\\s*$", " "),
-    (r"\\broof[- _]?mounted\\b", " "),
+    (r"\\broo*f[- _]?mounted\\b|\\broo+f[- _][a-z]+", " "),
     (r"^(.*)\\+(.*)$", r"$1 + $2"),
-    (r"\\+\\s*own plug[- _]?in|\\bplug-in\\b|\\+\\s*own\\b|\\bown plug-in\\b|\\bown\\b(?=.*\\+)|\\+", " "),
-    (r"\\b[0-9]+\\s*x(?=[\\s_-])|\\bv?[0-9]+([.][0-9]+)*\\b|\\brelease\\b", " "),
+    (r"\\+\\s*own[ _]*plug[- _]?in|\\bplug-in\\b|\\+\\s*own\\b|\\bown plug-in\\b|\\bown\\b(?=.*\\+)|\\+", " "),
+    (r"\\b[0-9]+\\s*x(?=[\\s_-])|\\bv?[0-9]+([.][0-9]+)*\\b|v[0-9]+([.][0-9]+)*\\b|\\brelease\\b", " "),
     (r"^[\\s_]*(one|the|a)[\\s_]+", " "),
-    (r"[\\s_]+(one|the)[\\s_/,-]*$|[-/,]\\s*(one|the)\\s", " "),
+    (r"[\\s_]+(one|the)[\\s_/,-]*$|[-/,]\\s*(one|the)\\s|(?<![a-z])one|(?<![a-z])the[\\s_-]+", " "),
     (r"[^0-9a-z]", ""),
 ]
 
@@ -143,7 +148,7 @@ SELECT p.field_name, p.value, b.term_id FROM plain p JOIN best b ON b.field_name
 _PREFIX = """
 WITH left_over AS (SELECT DISTINCT e.field_name, e.value FROM {elements} e LEFT ANTI JOIN {matched} m ON m.field_name = e.field_name AND m.value = e.value),
 plain AS (SELECT field_name, value, {COMPACT} AS v FROM left_over),
-long_forms AS (SELECT field_name, term_id, form, k, length(form) AS n FROM {forms} WHERE length(form) >= 10),
+long_forms AS (SELECT field_name, term_id, form, k, length(form) AS n FROM {forms} WHERE length(form) >= 8),
 sizes AS (SELECT DISTINCT field_name, n, k FROM long_forms),
 segs AS (
   SELECT *, substring(form, div(n * i, k + 1) + 1, div(n * (i + 1), k + 1) - div(n * i, k + 1)) AS seg
@@ -157,7 +162,7 @@ keys AS (
 near AS (
   SELECT s.field_name, keys.value, s.term_id, s.n, levenshtein(keys.head, s.form, s.k) AS d
   FROM keys JOIN segs s ON s.field_name = keys.field_name AND s.n = keys.n AND s.i = keys.i AND s.seg = keys.seg)
-SELECT field_name, value, min(struct(d - n AS score, term_id)).term_id AS term_id FROM near WHERE d >= 0 GROUP BY field_name, value
+SELECT field_name, value, min(struct(d - n AS score, term_id)).term_id AS term_id FROM near WHERE d = 0 OR d > 0 AND n >= 10 GROUP BY field_name, value
 """
 
 

@@ -36,10 +36,6 @@ class EngineConfig:
     abstract_stop_offset: int = 150
     cover_window: int = 3_500
     affiliation_window: int = 5_000
-    collection: str = "documents"
-    generator_model: str = "qwen2.5:72b"
-    judge_model: str = "llama3.1:70b"
-    embedder_model: str = "qwen3-embedding:4b"
     embedding_dim: int = 64
     context_limit: int = 6
     context_chars: int = 5_500

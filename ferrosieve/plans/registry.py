@@ -14,7 +14,7 @@ from ferrosieve.operators import standardize as std
 from ferrosieve.plans import pipeline
 from ferrosieve.sources.html import html_parts
 from ferrosieve.streaming.ingest import arrivals
-from ferrosieve.tables import table
+from ferrosieve.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -400,7 +400,7 @@ def arrivals_by_day(spark, d):
 def _first_records(spark, d):
     docs = table(spark, d, "doc_records")
     first = docs.groupBy("id").agg(F.min("row_id").alias("row_id"))
-    return docs.join(first, ["id", "row_id"])
+    return spread(docs.join(first, ["id", "row_id"]), "id")
 
 
 @query()
@@ -420,7 +420,7 @@ def chunk_listings(spark, d):
 
 @query()
 def marked_headings(spark, d):
-    return table(spark, d, "doc_records").where("full_text IS NOT NULL").select("row_id", std.with_headings(F.col("full_text")).alias("text"))
+    return spread(table(spark, d, "doc_records").where("full_text IS NOT NULL"), "row_id").select("row_id", std.with_headings(F.col("full_text")).alias("text"))
 
 
 @query()

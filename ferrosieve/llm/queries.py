@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing
-from ferrosieve.tables import table
+from ferrosieve.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_repair.found(table(spark, d, "doc_records"))
+    return p1_repair.found(spread(table(spark, d, "doc_records"), "row_id"))
 
 
 def p1_text(spark: SparkSession, d: str) -> DataFrame:
-    return p1_repair.repaired(table(spark, d, "doc_records"))
+    return p1_repair.repaired(spread(table(spark, d, "doc_records"), "row_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,11 +29,11 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_split.found(table(spark, d, "doc_records"))
+    return p3_split.found(spread(table(spark, d, "doc_records"), "row_id"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return p3_split.split_documents(table(spark, d, "doc_records"))
+    return p3_split.split_documents(spread(table(spark, d, "doc_records"), "row_id"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_pairs.found(table(spark, d, "gen_checkpoint"))
+    return p6_pairs.found(spread(table(spark, d, "gen_checkpoint"), "pair_id"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,19 +53,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return p8_encode.encode(table(spark, d, "documents"))
+    return p8_encode.encode(spread(table(spark, d, "documents"), "doc_id"))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return p9_pack.pack_texts(table(spark, d, "documents"))
+    return p9_pack.pack_texts(spread(table(spark, d, "documents"), "doc_id"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_stuffing.found(table(spark, d, "documents"))
+    return p10_stuffing.found(spread(table(spark, d, "documents"), "doc_id"))
 
 
 def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return p10_stuffing.evidence(table(spark, d, "documents"))
+    return p10_stuffing.evidence(spread(table(spark, d, "documents"), "doc_id"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}

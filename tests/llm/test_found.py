@@ -169,6 +169,20 @@ def test_history_by_brute_force(spark, hot, loads):
     assert got == plain_history(rows)
 
 
+@pytest.mark.parametrize("loads", [1, 2])
+def test_history_of_repeated_passages(spark, loads):
+    rng = random.Random(9)
+    forms = [[f"{c}{rng.randrange(3000)}" for _ in range(40)] for c in "abc"]
+    repeated = [f * 25 for f in forms]
+    edited = [w if rng.random() > 0.01 else "new" for w in repeated[1]]
+    within = forms[2] * 24 + ["end"]
+    texts = [*repeated, repeated[0], edited, within, forms[0], forms[1] * 5]
+    rows = [{"row_id": i + 1, "batch_no": 1 + i // 3, "id": f"id{i}", "full_text": " ".join(t)} for i, t in enumerate(texts)]
+    want = plain_history(rows)
+    assert {(1, 4), (2, 5), (3, 6)} == want
+    assert {tuple(r) for r in p4_history.found(records(spark, rows), loads).collect()} == want
+
+
 def test_history_of_test_table(spark, sf_dir):
     rows = [r.asDict() for r in table(spark, sf_dir, "doc_records").select("row_id", "id", "full_text").collect()]
     assert {tuple(r) for r in queries.QUERIES["p4_found"](spark, sf_dir).collect()} == plain_history(rows)

@@ -183,6 +183,27 @@ def test_history_of_repeated_passages(spark, loads):
     assert {tuple(r) for r in p4_history.found(records(spark, rows), loads).collect()} == want
 
 
+def test_pairs_of_hot_and_cold_chunks(spark):
+    rule = p4_history.Rule(hot=3, dropped=0.0)
+    ends_chunk = lambda w: (p4_history.xxhash.xxh64_intdigest(w) >> 32) % rule.boundary == 0
+    ends = [w for w in (f"e{i}" for i in range(500)) if ends_chunk(w)]
+    inner = {c: [w for w in (f"{c}{i}" for i in range(200)) if not ends_chunk(w)] for c in "hcb"}
+    hot, cold = [*inner["h"][:15], ends[0]], [*inner["c"][:14], ends[1]]  # 1.6 % and 1.5 % of 1,000 words
+
+    def text(k):
+        """Beside the two chunks, each chunk holds a word of its own."""
+        words = [*hot, *cold]
+        for i in range(108):
+            words += [*(inner["b"][(6 * i + j) % len(inner["b"])] for j in range(6)), f"own{k}", ends[2 + i % 5], f"own{k}"]
+        return " ".join(words[:1000])
+
+    other = lambda k: " ".join([*hot, *(f"other{k}-{i}" for i in range(984))])
+    rows = [{"row_id": k, "full_text": text(k) if k in (2, 3) else other(k)} for k in range(1, 6)]
+    want = plain_history(rows)
+    assert want == {(2, 3)}
+    assert {tuple(r) for r in p4_history.found(records(spark, rows), 1, rule=rule).collect()} == want
+
+
 def test_history_of_test_table(spark, sf_dir):
     rows = [r.asDict() for r in table(spark, sf_dir, "doc_records").select("row_id", "id", "full_text").collect()]
     assert {tuple(r) for r in queries.QUERIES["p4_found"](spark, sf_dir).collect()} == plain_history(rows)

@@ -4,8 +4,8 @@ Method. Every distinct spelling is parsed into its parts: of people surname, giv
 misses of known given names lead to one root), initials; of bodies place and kind (abbreviations written out,
 legal forms, articles and departments dropped). Spellings with equal parts form a unit. Units that may be
 typing errors of another are blocked by the phonetic codes of the pieces of their sorted tokens, so that one
-error leaves at least one block shared, and compared by Jaro-Winkler and edit distance; a rarely spelled unit
-follows a more often spelled one. Short forms (initials, acronyms, the place alone) follow the one entity they
+error leaves at least one block shared, and compared by Jaro-Winkler and edit distance; a unit of at most two
+spellings follows a more often spelled one, any other unit one of at least twice its spellings. Short forms (initials, acronyms, the place alone) follow the one entity they
 fit, and stay alone where several fit. Entities are the connected components of these links.
 
 Only distinct spellings are compared, never rows. The units of one entity are linked to one unit each, so links
@@ -351,9 +351,10 @@ def link(names: DataFrame, rare: int = 2) -> DataFrame:
     full = settle(units.where("tag <> '' AND main <> ''"), "p5-full")
     code = F.arrow_udf(lambda words: pa.array([codes(w) for w in words.to_pylist()], pa.list_(pa.string())), "array<string>", ArrowUDFType.SCALAR)
     keyed = settle(full.select("node", "kind", "main", "tag", "n", F.explode(code("main")).alias("code")), "p5-keys")
-    odd = keyed.where(F.col("n") <= rare).select(F.col("node").alias("x"), "kind", "tag", "code", F.col("main").alias("a"), F.col("n").alias("nx"))
+    odd = keyed.select(F.col("node").alias("x"), "kind", "tag", "code", F.col("main").alias("a"), F.col("n").alias("nx"))
     pairs = odd.join(keyed.select(F.col("node").alias("y"), "kind", "tag", "code", F.col("main").alias("b"), F.col("n").alias("ny")), ["kind", "tag", "code"])
-    pairs = pairs.where("x <> y AND (ny > nx OR ny = nx AND y < x)").select("x", "y", "a", "b", "ny").distinct()
+    # two units that are both spelled often follow each other only where one is spelled far more often
+    pairs = pairs.where("x <> y AND (ny > nx OR ny = nx AND y < x)").where((F.col("nx") <= rare) | (F.col("ny") >= 2 * F.col("nx"))).select("x", "y", "a", "b", "ny").distinct()
     typos = _close(pairs).groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("y"))
     typos = settle(typos, "p5-typos")
     entity = settle(components(full, typos).join(full.select("node", "kind", "main", "flat", "tag", "ini", "n"), "node"), "p5-entities")

@@ -225,6 +225,19 @@ def test_names(spark):
     assert got == want
 
 
+def name_pairs(spark, groups):
+    people = [n for g in groups for n in g]
+    got = {(r.name_a, r.name_b) for r in p5_names.found(records(spark, [{"row_id": 1, "authors": people}])).collect()}
+    return got, {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_errors_in_several_dresses(spark):
+    dresses = lambda s: [f"Jennifer {s}", f"{s}, Jennifer", f"JENNIFER {s.upper()}", f"Dr. Jennifer {s}", f"Jenny {s}", f"{s}, Jenny"]
+    even = lambda s: [f"Peter {s}", f"{s}, Peter", f"PETER {s.upper()}"]
+    got, want = name_pairs(spark, [[*dresses("Marrowby"), *dresses("Marowby")[:3]], even("Hallström"), even("Hellström")])
+    assert got == want
+
+
 def test_parts_of_names():
     assert p5_names.parse_person("Doe, J. R.") == ("doe", "", "j", "r") and p5_names.parse_person("Bob Doe") == ("doe", "robert", "r", "")
     assert p5_names.parse_person("Dr.") == ("", "", "", "") and p5_names.edits_within_one("abcd", "abdc") and not p5_names.edits_within_one("abcd", "acbde")

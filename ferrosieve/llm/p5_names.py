@@ -5,7 +5,8 @@ misses of known given names lead to one root), initials; of bodies place and kin
 legal forms, articles and departments dropped). Spellings with equal parts form a unit. Units that may be
 typing errors of another are blocked by the phonetic codes of the pieces of their sorted tokens, so that one
 error leaves at least one block shared, and compared by Jaro-Winkler and edit distance; a unit of at most two
-spellings follows a more often spelled one, any other unit one of at least twice its spellings. Short forms (initials, acronyms, the place alone) follow the one entity they
+spellings follows a more often spelled one, any other unit one of at least twice its spellings. Given names outside
+the list are compared likewise within a surname. Short forms (initials, acronyms, the place alone) follow the one entity they
 fit, and stay alone where several fit. Entities are the connected components of these links.
 
 Only distinct spellings are compared, never rows. The units of one entity are linked to one unit each, so links
@@ -356,7 +357,12 @@ def link(names: DataFrame, rare: int = 2) -> DataFrame:
     # two units that are both spelled often follow each other only where one is spelled far more often
     pairs = pairs.where("x <> y AND (ny > nx OR ny = nx AND y < x)").where((F.col("nx") <= rare) | (F.col("ny") >= 2 * F.col("nx"))).select("x", "y", "a", "b", "ny").distinct()
     typos = _close(pairs).groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("y"))
-    typos = settle(typos, "p5-typos")
+    # errors in given names that are not listed; listed ones were led to their roots
+    strangers = full.where((F.col("kind") == "author") & ~F.col("tag").isin(*sorted(set(_GIVEN.values())))).select("node", "flat", "tag", "n", F.explode(code("tag")).alias("code"))
+    odd = strangers.select(F.col("node").alias("x"), "flat", "code", F.col("tag").alias("a"), F.col("n").alias("nx"))
+    pairs = odd.join(strangers.select(F.col("node").alias("y"), "flat", "code", F.col("tag").alias("b"), F.col("n").alias("ny")), ["flat", "code"])
+    givens = _close(pairs.where("x <> y AND ny >= 2 * nx").select("x", "y", "a", "b", "ny").distinct()).groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("y"))
+    typos = settle(typos.union(givens), "p5-typos")
     entity = settle(components(full, typos).join(full.select("node", "kind", "main", "flat", "tag", "ini", "n"), "node"), "p5-entities")
 
     # initials follow the one person of that surname and initial; other initials help where several fit

@@ -238,6 +238,12 @@ def test_errors_in_several_dresses(spark):
     assert got == want
 
 
+def test_errors_in_given_names_outside_the_list(spark):
+    groups = [["Mehmet Yildirim", "Yildirim, Mehmet", "Mehmte Yildirim"], ["Takashi Yildirim"], ["Karin Oldenby"], ["Karen Oldenby"], ["Peter Yildirim"]]
+    got, want = name_pairs(spark, groups)
+    assert got == want
+
+
 def test_parts_of_names():
     assert p5_names.parse_person("Doe, J. R.") == ("doe", "", "j", "r") and p5_names.parse_person("Bob Doe") == ("doe", "robert", "r", "")
     assert p5_names.parse_person("Dr.") == ("", "", "", "") and p5_names.edits_within_one("abcd", "abdc") and not p5_names.edits_within_one("abcd", "acbde")

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -51,17 +52,26 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that is new and removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _drop_at_exit(spark, path)
+    return path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: whatever is built on the result restarts from the files, also after the
     loss of an executor, and the plan before it is computed once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``settle``, with ``rows`` and other aggregates that are gathered while the table is written."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in figures.items()]), name)
+    return out, seen.get

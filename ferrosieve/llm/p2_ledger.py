@@ -1,9 +1,11 @@
 """Problem 2: records that differ only in whitespace, letter case, punctuation or field order.
 
 Method: an incremental ledger. Each record is reduced to a canonical key of 16 bytes. The ledger holds, in
-buckets of the key, how many copies each key has had and its earliest row. A batch is aggregated by key
-first, then full-outer-joined with those ledger buckets that it touches; counts are added, the earliest
-representative stays, and only the touched buckets are written anew. History is never read again.
+buckets of the key, how many copies each key has had and its earliest row. It lies in a folder as a few runs of falling
+size. A batch is aggregated by key first, then full-outer-joined with the smallest runs, those of at most twice the rows that are
+to be written; counts are added and the earliest representative stays. Larger runs are neither read nor written, so a key is
+written anew about once for each doubling of the ledger, not once a batch. A reader adds the runs up by key, or looks keys
+up in the buckets into which they fall. Records of earlier batches are never read again.
 
 Because a batch is aggregated before the join, a key that holds a third of all rows is one row in it.
 The members of repeated keys are found by an equality join with the ledger, whose side has one row a key,
@@ -15,12 +17,11 @@ any other; repeated rows count; other columns do not matter.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrosieve.tables import settle
+from ferrosieve.store import Run, Versions, read_runs, touched_buckets, write_run
+from ferrosieve.tables import fresh_path, measured, settle
 
 # All punctuation, separators, control and format characters; a point or comma between digits stays.
 IGNORED = r"(?<!\p{Nd})[.,]|[.,](?!\p{Nd})|[\p{P}\p{Z}\p{Cc}\p{Cf}&&[^.,]]"
@@ -38,43 +39,64 @@ def key(*fields: Column) -> Column:
 
 
 class Ledger:
-    """Bucketed counts of canonical keys under the shared folder; ``update`` returns the next ledger."""
-
-    SCHEMA = "key binary, n long, first_row_id long, bucket int"
-
-    def __init__(self, spark: SparkSession, buckets: int = 64, versions: dict[int, DataFrame] | None = None, owner: dict[int, int] | None = None):
-        self.spark, self.buckets = spark, buckets
-        self.versions, self.owner = versions or {}, owner or {}
-
-    def read(self, buckets: set[int] | None = None) -> DataFrame:
-        """All entries, or those of some buckets; unread buckets are pruned by partition."""
-        by_version: dict[int, list[int]] = {}
-        for b, v in self.owner.items():
-            if buckets is None or b in buckets:
-                by_version.setdefault(v, []).append(b)
-        parts = [self.versions[v].where(F.col("bucket").isin(bs)) for v, bs in sorted(by_version.items())]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
-
-    def update(self, keyed: DataFrame) -> Ledger:
-        """Add a batch of (row_id, key)."""
-        batch = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row_id"))
-        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        if self.owner:
-            batch = settle(batch, "p2-batch")
-            touched = {r.bucket for r in batch.select("bucket").distinct().collect()}  # at most `buckets` rows
-            old = self.read(touched).alias("o")
-            b = batch.alias("b")
-            merged = old.join(b, (F.col("o.bucket") == F.col("b.bucket")) & (F.col("o.key") == F.col("b.key")), "full_outer").select(
+    """Counts and earliest rows of canonical keys, in a folder that lasts."""
+
+    SCHEMA = "key binary, n long, first_row_id long"
+
+    def __init__(self, spark: SparkSession, folder: str, bucket_rows: int = 1_000_000):
+        self.versions = Versions(spark, folder)
+        self.number, state = self.versions.newest()
+        self.state = state or {"bucket_rows": bucket_rows, "runs": [], "old": [], "rewritten": 0}
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str, **sizes: int) -> Ledger:
+        """The ledger of a folder; an empty one where there is none."""
+        return Ledger(spark, folder, **sizes)
+
+    @property
+    def runs(self) -> list[Run]:
+        return [Run.load(r) for r in self.state["runs"]]
+
+    def read(self) -> DataFrame:
+        """key, n, first_row_id of every key; each is one row."""
+        return self._put_together(read_runs(self.versions, self.SCHEMA, self.runs))
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The same for the column ``key`` of ``keys``; only buckets into which a key falls are opened."""
+        touched = touched_buckets(keys, self.runs, lambda n: _bucket(n))
+        return self._put_together(read_runs(self.versions, self.SCHEMA, self.runs, touched).join(keys.select("key").distinct(), "key", "left_semi"))
+
+    def _put_together(self, rows: DataFrame) -> DataFrame:
+        return rows if len(self.runs) < 2 else rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_row_id").alias("first_row_id"))
+
+    def update(self, keyed: DataFrame) -> None:
+        """Add a batch of (row_id, key): aggregated by key, then full-outer-joined with the runs that are no larger than twice what is to be written."""
+        batch, figures = measured(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row_id")), "p2-batch")
+        runs, rows, merged, taken = sorted(self.runs, key=lambda r: -r.rows), figures["rows"], batch, []
+        if rows == 0:
+            return
+        while runs and runs[-1].rows <= 2 * rows:
+            run = runs.pop()
+            taken.append(run)
+            rows += run.rows
+            o, b = read_runs(self.versions, self.SCHEMA, [run]).alias("o"), merged.alias("b")
+            merged = o.join(b, F.col("o.key") == F.col("b.key"), "full_outer").select(
                 F.coalesce("o.key", "b.key").alias("key"),
                 (F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"),
                 F.least("o.first_row_id", "b.first_row_id").alias("first_row_id"),
-                F.coalesce("o.bucket", "b.bucket").alias("bucket"),
             )
-        else:
-            merged, touched = batch, set(range(self.buckets))
-        new = settle(merged.repartition("bucket"), "p2-ledger", partition_by=["bucket"])
-        version = len(self.versions)
-        return Ledger(self.spark, self.buckets, self.versions | {version: new}, self.owner | {b: version for b in touched})
+        of = -(-rows // self.state["bucket_rows"])
+        new = write_run(self.versions, merged, "ledger", _bucket(of), of, "key")
+        rewritten = self.state["rewritten"] + sum(r.rows for r in taken)
+        state = {**self.state, "runs": [r.save() for r in [*runs, new]], "old": [r.name for r in taken], "rewritten": rewritten}
+        self.versions.publish(self.number + 1, state)
+        for name in self.state["old"]:  # superseded one batch ago
+            self.versions.drop(name)
+        self.number, self.state = self.number + 1, state
+
+
+def _bucket(of: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(of))
 
 
 def keyed_records(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract"), id_col: str = "row_id", batch_col: str = "batch_no") -> DataFrame:
@@ -82,15 +104,12 @@ def keyed_records(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract")
     return settle(df.select(F.col(id_col).alias("row_id"), F.col(batch_col).alias("batch_no"), key(*[F.col(f) for f in fields]).alias("key")), "p2-keys")
 
 
-def build(keyed: DataFrame, updates: int = 3, buckets: int = 64) -> Ledger:
-    """The ledger after all batches, taken in order of arrival in ``updates`` loads."""
-    ledger = Ledger(keyed.sparkSession, buckets)
-    lo, hi = keyed.agg(F.min("batch_no"), F.max("batch_no")).first()
-    if lo is None:
-        return ledger
-    edges = sorted({lo + (hi + 1 - lo) * i // updates for i in range(updates)} | {hi + 1})
-    for a, b in zip(edges, edges[1:]):
-        ledger = ledger.update(keyed.where(F.col("batch_no").between(a, b - 1)))
+def build(keyed: DataFrame, folder: str | None = None, bucket_rows: int = 1_000_000) -> Ledger:
+    """The ledger after all batches, each added in its turn. Without a ``folder`` it is kept until the driver ends."""
+    spark = keyed.sparkSession
+    ledger = Ledger.open(spark, folder or fresh_path(spark, "p2-ledger"), bucket_rows=bucket_rows)
+    for b in sorted(r[0] for r in keyed.select("batch_no").distinct().collect()):
+        ledger.update(keyed.where(F.col("batch_no") == b).select("row_id", "key"))
     return ledger
 
 

@@ -1,9 +1,11 @@
 """The pN queries against SQL where SQL can express them, else against plain versions on small tables."""
 
+import math
 import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
 from ferrosieve.tables import table
@@ -90,10 +92,18 @@ def test_dress_of_records_does_not_matter(spark):
     assert counts == {1: 3, 3: 1, 4: 2}
 
 
-def test_ledger_is_the_same_however_it_is_loaded(spark, sf_dir):
-    keyed = p2_ledger.keyed_records(table(spark, sf_dir, "doc_records"))
-    one, many = (sorted(map(tuple, p2_ledger.build(keyed, n, 8).read().select("first_row_id", "n").collect())) for n in (1, 7))
-    assert one == many
+def test_ledger_is_the_same_however_it_is_loaded(spark, sf_dir, tmp_path):
+    keyed = p2_ledger.keyed_records(table(spark, sf_dir, "doc_records").union(table(spark, sf_dir, "doc_records").selectExpr("row_id + 1000 AS row_id", "batch_no + 1 AS batch_no", "* EXCEPT (row_id, batch_no)")))
+    rows = lambda ledger: sorted(map(tuple, ledger.read().select("first_row_id", "n").collect()))
+    one = rows(p2_ledger.build(keyed.withColumn("batch_no", F.lit(1))))
+    many = p2_ledger.build(keyed, str(tmp_path), 10)
+    assert rows(many) == one and len(many.runs) <= 4
+    again = p2_ledger.Ledger.open(spark, str(tmp_path))
+    assert rows(again) == one and again.state["bucket_rows"] == 10 and max(r.of for r in again.runs) > 1
+    total = keyed.select("key").distinct().count()
+    assert again.state["rewritten"] <= total * (1 + math.log2(20))
+    few = keyed.limit(2)
+    assert again.lookup(few).count() == few.select("key").distinct().count()
 
 
 # 3
@@ -155,53 +165,65 @@ def drift(rng, words, n):
     return [w if rng.random() > n else f"new{rng.randrange(999)}" for w in words]
 
 
-@pytest.mark.parametrize("hot,loads", [(1000, 1), (2, 1), (3, 3)])
-def test_history_by_brute_force(spark, hot, loads):
+@pytest.mark.parametrize("hot,batch", [(1000, 70), (2, 70), (3, 20)])
+def test_history_by_brute_force(spark, hot, batch):
     rng = random.Random(hot)
     bases = [[f"w{rng.randrange(3000)}" for _ in range(160)] for _ in range(5)]
     rows = []
     for i in range(70):
         base = bases[0] if i % 3 == 0 else rng.choice(bases)
         words = base if rng.random() < 0.3 else drift(rng, base, rng.choice([0.03, 0.08, 0.12]))
-        rows.append({"row_id": i + 1, "batch_no": i // 10, "id": rng.choice([None, f"id{rng.randrange(60)}"]), "full_text": rng.choice([" ".join(words), " ".join(words), None])})
-    rule = p4_history.Rule(hot=hot, least_coverage=0.02, dropped=0.02, boundary=4, least_words=2)
-    got = {tuple(r) for r in p4_history.found(records(spark, rows), loads, rule=rule).collect()}
+        rows.append({"row_id": i + 1, "batch_no": i // batch, "id": rng.choice([None, f"id{rng.randrange(60)}"]), "full_text": rng.choice([" ".join(words), " ".join(words), None])})
+    rule = p4_history.Rule(hot=hot, least_coverage=0.02, dropped=0.02, boundary=16, least_bytes=8, window=4)
+    got = {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule).collect()}
     assert got == plain_history(rows)
 
 
-@pytest.mark.parametrize("loads", [1, 2])
-def test_history_of_repeated_passages(spark, loads):
+@pytest.mark.parametrize("batch", [8, 3])
+def test_history_of_repeated_passages(spark, batch):
     rng = random.Random(9)
     forms = [[f"{c}{rng.randrange(3000)}" for _ in range(40)] for c in "abc"]
     repeated = [f * 25 for f in forms]
     edited = [w if rng.random() > 0.01 else "new" for w in repeated[1]]
     within = forms[2] * 24 + ["end"]
     texts = [*repeated, repeated[0], edited, within, forms[0], forms[1] * 5]
-    rows = [{"row_id": i + 1, "batch_no": 1 + i // 3, "id": f"id{i}", "full_text": " ".join(t)} for i, t in enumerate(texts)]
+    rows = [{"row_id": i + 1, "batch_no": 1 + i // batch, "id": f"id{i}", "full_text": " ".join(t)} for i, t in enumerate(texts)]
     want = plain_history(rows)
     assert {(1, 4), (2, 5), (3, 6)} == want
-    assert {tuple(r) for r in p4_history.found(records(spark, rows), loads).collect()} == want
+    assert {tuple(r) for r in p4_history.found(records(spark, rows)).collect()} == want
 
 
 def test_pairs_of_hot_and_cold_chunks(spark):
-    rule = p4_history.Rule(hot=3, dropped=0.0)
-    ends_chunk = lambda w: (p4_history.xxhash.xxh64_intdigest(w) >> 32) % rule.boundary == 0
-    ends = [w for w in (f"e{i}" for i in range(500)) if ends_chunk(w)]
-    inner = {c: [w for w in (f"{c}{i}" for i in range(200)) if not ends_chunk(w)] for c in "hcb"}
-    hot, cold = [*inner["h"][:15], ends[0]], [*inner["c"][:14], ends[1]]  # 1.6 % and 1.5 % of 1,000 words
-
-    def text(k):
-        """Beside the two chunks, each chunk holds a word of its own."""
-        words = [*hot, *cold]
-        for i in range(108):
-            words += [*(inner["b"][(6 * i + j) % len(inner["b"])] for j in range(6)), f"own{k}", ends[2 + i % 5], f"own{k}"]
-        return " ".join(words[:1000])
-
-    other = lambda k: " ".join([*hot, *(f"other{k}-{i}" for i in range(984))])
-    rows = [{"row_id": k, "full_text": text(k) if k in (2, 3) else other(k)} for k in range(1, 6)]
+    """Two texts share 4 % in a chunk of many holders and 4 % in one that no other text holds, and are alike word by word."""
+    rng = random.Random(4)
+    rule = p4_history.Rule(hot=3, dropped=0.0, least_coverage=0.05)
+    hot, cold = " ".join(f"hot{i}" for i in range(40)), " ".join(f"cold{i}" for i in range(40))
+    shared = [f"s{i % 50}" for i in range(900)]
+    alike = lambda k: " ".join([hot, cold, *(w if i % 3 else f"own{k}x{i}" for i, w in enumerate(shared))])
+    other = lambda k: " ".join([hot, *(f"other{k}x{rng.randrange(10**6)}" for i in range(900))])
+    rows = [{"row_id": k, "full_text": alike(k) if k in (2, 3) else other(k)} for k in range(1, 6)]
     want = plain_history(rows)
     assert want == {(2, 3)}
-    assert {tuple(r) for r in p4_history.found(records(spark, rows), 1, rule=rule).collect()} == want
+    assert {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule).collect()} == want
+
+
+def test_history_lasts_and_opens_only_the_buckets_it_needs(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(96)]
+    rows = [{"row_id": i, "batch_no": i // 8, "id": f"id{i}", "full_text": t} for i, t in enumerate(texts)]
+    probe = records(spark, [{"row_id": 500, "full_text": " ".join(texts[3].split()[4:])}])
+    raw = p4_history.chunk_records(probe, p4_history.Rule())
+    prints = p4_history._prints(raw, raw.select("key", F.col("row_id").alias("cls")))
+    read = []
+    for part in (rows[:48], rows[48:]):
+        history = p4_history.History.open(spark, str(tmp_path), bucket_rows=4, text_rows=4, fan=4)
+        assert p4_history.found(records(spark, part), history=history).count() == 0
+        read.append((sum(r.rows for r in history.runs), p4_history.History.open(spark, str(tmp_path)).prints_met_by(prints).count()))
+    (all_1, read_1), (all_2, read_2) = read
+    assert all_2 > 1.9 * all_1 and read_1 < 0.5 * all_1 and read_2 <= 1.3 * read_1, read
+    again = p4_history.History.open(spark, str(tmp_path))
+    assert again.accepted().count() == 96 and again.texts_of([0]).count() == 4
+    assert [tuple(r) for r in p4_history.found(probe, history=again).collect()] == [(3, 500)]
 
 
 def test_history_of_test_table(spark, sf_dir):

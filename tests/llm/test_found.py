@@ -378,14 +378,35 @@ def test_packing_is_tight(spark, sf_dir):
 # 10
 
 
+PROSE = """The operator of the vehicle has to check the sensor before it is used on the road. In the rain the radar sees more than the camera does.
+Each run was measured once the camera had warmed up, although nobody could tell why. We found that under snow the range of a lidar is shorter than the maker says."""
+ITALIAN = """Il conducente deve controllare il sensore prima di usarlo sulla strada. Con la pioggia il radar vede più della telecamera, ma di notte la differenza è
+minore. Ogni misura è stata ripetuta tre volte, e nessuno sa spiegare perché la seconda sia diversa. Con la neve la portata del lidar è più breve di quanto dichiarato."""
+POLISH = """Kierowca musi sprawdzić czujnik, zanim wyjedzie na drogę. W deszczu radar widzi więcej niż kamera, lecz w nocy różnica jest mniejsza. Każdy pomiar
+powtórzono trzy razy i nikt nie wie, dlaczego drugi był inny. W śniegu zasięg lidaru jest krótszy, niż podaje producent, a kamera widzi tylko plamy."""
+
+
 def test_stuffed_pages(spark):
-    prose = "The operator of the vehicle has to check the sensor before it is used on the road. In the rain the radar sees more than the camera does. "
-    other = "Each run was measured once the camera had warmed up, although nobody could tell why. We found that under snow the range of a lidar is shorter than the maker says. "
     keywords = "cheap radar best price radar shop lidar deal online radar free lidar discount "
     links = "\n".join(f"> lidar\nbuy lidar https://www.shop{i}.invalid/deal" for i in range(30))
-    rows = [(1, prose + other, "a"), (2, keywords * 10, "a"), (3, links, None), (4, prose + other + keywords * 3, "b"), (5, prose + keywords * 12, "b"), (6, "", "a"), (7, None, "a"), (8, "radar radar", "a"), (9, keywords * 10, "c"), (10, "レーダー 激安 通販 " * 60, "d"), (11, "本手法は雨天では検出率を評価するが、試験場では温度に依存する。" * 8, "d")]
+    tags = lambda k: "\n".join(f"SKU {k}{i} | radar {w} | new | {i}.90" for i in range(9) for w in ("cheap", "used"))
+    stuffed = "If you need radar cover, the radar cover shop for radar cover offers radar cover and more radar cover. Our radar cover is the best radar cover for every radar cover buyer. " * 3
+    rows = [
+        (1, PROSE, "a"), (2, keywords * 10, "a"), (3, links, None), (4, PROSE + keywords * 3, "b"), (5, PROSE[:140] + "\n" + keywords * 12, "b"), (6, "", "a"), (7, None, "a"), (8, "radar radar", "a"), (9, keywords * 10, "c"),
+        (10, "レーダー 激安 通販 " * 60, "d"), (11, "本手法は雨天では検出率を評価するが、試験場では温度に依存する。" * 8, "d"), (12, ITALIAN, "e"), (13, POLISH, "e"), (14, tags(3), "a"), (15, tags(4), "b"), (16, stuffed, "a"),
+        (17, PROSE + "\nKeywords: radar, lidar, camera, rain, snow, road, range\nhttps://www.shop.invalid/paper", "a"),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r.doc_id for r in p10_stuffing.found(df).collect()} == {2, 3, 5, 9, 10}
+    assert {r.doc_id for r in p10_stuffing.found(df).collect()} == {2, 3, 5, 9, 10, 14, 15, 16}
     seen = {r.doc_id: r for r in p10_stuffing.evidence(df).collect()}
-    assert seen[2].replicated > 0.9 and seen[3].replicated == 0.0 and len(seen) == 11
+    assert seen[2].replicated > 0.9 and seen[14].replicated > 0.5 and seen[16].replicated == 0.0 and seen[3].link_share > 0.4 and len(seen) == 17
     assert p10_stuffing.found(df.limit(0)).count() == 0
+
+
+def test_replicated_phrases_decide(spark):
+    """List material of 60 % of a page is spam where its phrases stand on another host, and not enough of its own."""
+    page = PROSE + "\n" + ", ".join(f"{a} {b}" for a in ("radar", "lidar", "camera", "imager", "scanner") for b in ("shop", "price", "deal", "offer", "sale", "store", "outlet", "bargain"))
+    df = spark.createDataFrame([(1, page, "a"), (2, page, "b"), (3, page.replace("radar", "sonar").replace("lidar", "gps").replace("camera", "dome").replace("imager", "mast").replace("scanner", "probe"), "a")], "doc_id long, text string, source string")
+    assert 0.5 < p10_stuffing.evidence(df).first().list_share < 0.7
+    assert {r.doc_id for r in p10_stuffing.found(df).collect()} == {1, 2}
+    assert p10_stuffing.found(df, replication=False).count() == 0

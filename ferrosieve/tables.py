@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def short_plans(spark: SparkSession, characters: int = 2000) -> Iterator[None]:
+    """Keep the driver from storing long descriptions of plans: it holds those of the last thousand jobs, which adds up in a run of many loads."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(characters))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM free the broadcasts and plans of finished steps.
+
+    A driver that runs batch after batch would otherwise let its heap grow to the limit before it collects them.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

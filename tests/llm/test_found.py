@@ -165,8 +165,8 @@ def drift(rng, words, n):
     return [w if rng.random() > n else f"new{rng.randrange(999)}" for w in words]
 
 
-@pytest.mark.parametrize("hot,batch", [(1000, 70), (2, 70), (3, 20)])
-def test_history_by_brute_force(spark, hot, batch):
+@pytest.mark.parametrize("hot,batch,one_task", [(1000, 70, 1000), (1000, 70, 0), (2, 70, 1000), (3, 20, 1000)])
+def test_history_by_brute_force(spark, hot, batch, one_task):
     rng = random.Random(hot)
     bases = [[f"w{rng.randrange(3000)}" for _ in range(160)] for _ in range(5)]
     rows = []
@@ -174,8 +174,8 @@ def test_history_by_brute_force(spark, hot, batch):
         base = bases[0] if i % 3 == 0 else rng.choice(bases)
         words = base if rng.random() < 0.3 else drift(rng, base, rng.choice([0.03, 0.08, 0.12]))
         rows.append({"row_id": i + 1, "batch_no": i // batch, "id": rng.choice([None, f"id{rng.randrange(60)}"]), "full_text": rng.choice([" ".join(words), " ".join(words), None])})
-    rule = p4_history.Rule(hot=hot, least_coverage=0.02, dropped=0.02, boundary=16, least_bytes=8, window=4)
-    got = {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule).collect()}
+    rule = p4_history.Rule(hot=hot, one_task=one_task, least_coverage=0.02, dropped=0.02, boundary=16, least_bytes=8, window=4)
+    got = {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule, least_rows=1).collect()}
     assert got == plain_history(rows)
 
 
@@ -190,7 +190,7 @@ def test_history_of_repeated_passages(spark, batch):
     rows = [{"row_id": i + 1, "batch_no": 1 + i // batch, "id": f"id{i}", "full_text": " ".join(t)} for i, t in enumerate(texts)]
     want = plain_history(rows)
     assert {(1, 4), (2, 5), (3, 6)} == want
-    assert {tuple(r) for r in p4_history.found(records(spark, rows)).collect()} == want
+    assert {tuple(r) for r in p4_history.found(records(spark, rows), least_rows=1).collect()} == want
 
 
 def test_pairs_of_hot_and_cold_chunks(spark):
@@ -204,7 +204,7 @@ def test_pairs_of_hot_and_cold_chunks(spark):
     rows = [{"row_id": k, "full_text": alike(k) if k in (2, 3) else other(k)} for k in range(1, 6)]
     want = plain_history(rows)
     assert want == {(2, 3)}
-    assert {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule).collect()} == want
+    assert {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule, least_rows=1).collect()} == want
 
 
 def test_history_lasts_and_opens_only_the_buckets_it_needs(spark, tmp_path):
@@ -217,7 +217,7 @@ def test_history_lasts_and_opens_only_the_buckets_it_needs(spark, tmp_path):
     read = []
     for part in (rows[:48], rows[48:]):
         history = p4_history.History.open(spark, str(tmp_path), bucket_rows=4, text_rows=4, fan=4)
-        assert p4_history.found(records(spark, part), history=history).count() == 0
+        assert p4_history.found(records(spark, part), history=history, least_rows=1).count() == 0
         read.append((sum(r.rows for r in history.runs), p4_history.History.open(spark, str(tmp_path)).prints_met_by(prints).count()))
     (all_1, read_1), (all_2, read_2) = read
     assert all_2 > 1.9 * all_1 and read_1 < 0.5 * all_1 and read_2 <= 1.3 * read_1, read

@@ -4,9 +4,8 @@ Method. Every distinct spelling is parsed into its parts: of people surname, giv
 misses of known given names lead to one root), initials; of bodies place and kind (abbreviations written out,
 legal forms, articles and departments dropped). Spellings with equal parts form a unit. Units that may be
 typing errors of another are blocked by the phonetic codes of the pieces of their sorted tokens, so that one
-error leaves at least one block shared, and compared by Jaro-Winkler and edit distance; a unit of at most two
-spellings follows a more often spelled one, any other unit one of at least twice its spellings. Given names outside
-the list are compared likewise within a surname. Short forms (initials, acronyms, the place alone) follow the one entity they
+error leaves at least one block shared, and compared by Jaro-Winkler and edit distance; a unit follows a more often
+spelled one. Given names outside the list are compared likewise within a surname, and with the surname where the order may be turned. Short forms (initials, acronyms, the place alone) follow the one entity they
 fit, and stay alone where several fit. Entities are the connected components of these links.
 
 Only distinct spellings are compared, never rows. The units of one entity are linked to one unit each, so links
@@ -35,7 +34,6 @@ SENTINELS = ("Manual Upload", "Unknown")  # fixed values of the record source
 # Given names and the short forms in use for them.
 GIVEN_NAMES = """
 aleksandr alexander alexandre alejandro: sasha alex sascha alec sandy ale
-amara:
 andrew andreas andrea andrei: andy drew
 anna anne: annie
 anthony antonio anton: tony toni
@@ -50,8 +48,6 @@ dorothea dorothy: thea dora dolly dot
 edward eduard eduardo: ned ed eddie
 ekaterina: katya katja
 elizabeth elisabeth: liz beth betty lizzie eliza lisa
-emily:
-farid:
 francisco: paco pancho fran
 frederick friedrich: fred freddie fritz
 gabriela gabriele gabrielle: gabi gaby
@@ -59,35 +55,25 @@ george georg jorge:
 giuseppe: beppe peppe pino
 gregory: greg
 henry heinrich: hank harry heinz
-hiroko:
 ingrid: inga
 james: jim jimmy jamie
 jennifer: jenny jen
 johannes johann: hannes hans
 john: jack johnny
 joseph josef: joe jos joey
-josephine:
-juan:
-julia:
 katherine katharina: kate kathy katie kitty
 kenji: ken
-leila:
 leonardo leonhard leonard: leo leon lenny
-ludwig:
-manuel:
 margaret margarete: peggy maggie meg greta
 maria: mia
 matthias matthew: matze matt matthes
 michael: mike mick micha mischa
 nikolaus nikolas nicholas nicolas: klaus niklas niko nick nico
-olga:
 oskar oscar: ossi
 patricia: pat patty trish
 patrick: paddy
-paul:
 peter: pete
 philip philipp: phil
-priya:
 rebecca: becky becca
 richard: dick rick rich ricky
 robert: bob rob bobby bert robbie
@@ -102,9 +88,7 @@ ulrike: uli ulli rike
 ursula: uschi
 victoria viktoria: vicky vicki tori
 walter: walt
-wei:
 william wilhelm: bill will billy willy willi
-yusuf:
 zofia sofia sophia: zosia zo sofie
 """
 # Words of the kind of a body and their abbreviations.
@@ -314,16 +298,44 @@ def _units(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "kind string, name string, main string, tag string, ini string, more string, flat string")
 
 
-def _close(pairs: DataFrame) -> DataFrame:
-    """Keep the rows whose columns a and b are one edit apart and have a Jaro-Winkler similarity of 0.84.
-
-    An edit near the start costs much similarity where letters repeat, hence the bound below 0.9.
+def edits_within_two(a: str, b: str) -> bool:
+    """Whether at most two insertions, deletions, replacements or swaps of neighbours lead from a to b."""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, d in enumerate(b, 1):
+            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (c != d))
+            if older and j > 1 and c == b[j - 2] and a[i - 2] == d:
+                cost = min(cost, older[j - 2] + 1)
+            row.append(cost)
+    return row[-1] <= 2
+
+
+def near_names(p: str, q: str, ratio: float) -> bool:
+    """Whether p may be a misspelling of q, which is spelled ``ratio`` times as often.
+
+    One edit and a Jaro-Winkler similarity of 0.84 (an edit near the start costs much similarity where letters repeat); names of
+    three and four letters have so many neighbours that the right one must be spelled three times as often. Two edits need seven
+    letters, a similarity of 0.9 and twice as many spellings.
     """
+    if min(len(p), len(q)) < 3:
+        return False
+    similarity = jaro_winkler(p, q)
+    if edits_within_one(p, q):
+        return similarity >= 0.84 if max(len(p), len(q)) >= 5 else similarity >= 0.75 and ratio >= 3
+    return len(p) >= 7 and similarity >= 0.9 and ratio >= 2 and edits_within_two(p, q)
 
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([len(p) >= 5 and edits_within_one(p, q) and jaro_winkler(p, q) >= 0.84 for p, q in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    return pairs.where(F.arrow_udf(near, "boolean", ArrowUDFType.SCALAR)("a", "b"))
+def _close(pairs: DataFrame) -> DataFrame:
+    """Keep the rows (a, b, nx, ny) whose names are near."""
+
+    def near(a: pa.Array, b: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([near_names(p, q, m / n) for p, q, n, m in zip(a.to_pylist(), b.to_pylist(), x.to_pylist(), y.to_pylist())], pa.bool_())
+
+    return pairs.where(F.arrow_udf(near, "boolean", ArrowUDFType.SCALAR)("a", "b", "nx", "ny"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -342,7 +354,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def link(names: DataFrame, rare: int = 2) -> DataFrame:
+def link(names: DataFrame) -> DataFrame:
     """``kind``, ``name`` and ``entity`` of distinct spellings (kind, name)."""
     parsed = settle(_units(names).where("main <> '' OR ini <> ''"), "p5-parsed")
     node = F.when((F.col("kind") == "author") & (F.col("tag") == ""), F.concat_ws("|", "kind", "flat", F.lit(""), "ini", "more"))
@@ -354,15 +366,18 @@ def link(names: DataFrame, rare: int = 2) -> DataFrame:
     keyed = settle(full.select("node", "kind", "main", "tag", "n", F.explode(code("main")).alias("code")), "p5-keys")
     odd = keyed.select(F.col("node").alias("x"), "kind", "tag", "code", F.col("main").alias("a"), F.col("n").alias("nx"))
     pairs = odd.join(keyed.select(F.col("node").alias("y"), "kind", "tag", "code", F.col("main").alias("b"), F.col("n").alias("ny")), ["kind", "tag", "code"])
-    # two units that are both spelled often follow each other only where one is spelled far more often
-    pairs = pairs.where("x <> y AND (ny > nx OR ny = nx AND y < x)").where((F.col("nx") <= rare) | (F.col("ny") >= 2 * F.col("nx"))).select("x", "y", "a", "b", "ny").distinct()
+    # of two units the one with fewer spellings follows
+    pairs = pairs.where("x <> y AND (ny > nx OR ny = nx AND nx <= 2 AND y < x)").select("x", "y", "a", "b", "nx", "ny").distinct()
     typos = _close(pairs).groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("y"))
     # errors in given names that are not listed; listed ones were led to their roots
     strangers = full.where((F.col("kind") == "author") & ~F.col("tag").isin(*sorted(set(_GIVEN.values())))).select("node", "flat", "tag", "n", F.explode(code("tag")).alias("code"))
     odd = strangers.select(F.col("node").alias("x"), "flat", "code", F.col("tag").alias("a"), F.col("n").alias("nx"))
     pairs = odd.join(strangers.select(F.col("node").alias("y"), "flat", "code", F.col("tag").alias("b"), F.col("n").alias("ny")), ["flat", "code"])
-    givens = _close(pairs.where("x <> y AND ny >= 2 * nx").select("x", "y", "a", "b", "ny").distinct()).groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("y"))
-    typos = settle(typos.union(givens), "p5-typos")
+    givens = _close(pairs.where("x <> y AND ny >= 2 * nx").select("x", "y", "a", "b", "nx", "ny").distinct()).groupBy("x").agg(F.max_by("y", F.struct("ny", "y")).alias("y"))
+    # surname first without a comma: the same two names the other way round, where neither is a known given name
+    turned = full.where("kind = 'author'").select(F.col("node").alias("y"), F.col("tag").alias("flat"), F.col("flat").alias("tag"), F.col("n").alias("ny"))
+    turned = strangers.select(F.col("node").alias("x"), "flat", "tag", F.col("n").alias("nx")).distinct().join(turned, ["flat", "tag"]).where("ny > nx OR ny = nx AND y < x").groupBy("x").agg(F.max("y").alias("y"))
+    typos = settle(typos.union(givens).union(turned), "p5-typos")
     entity = settle(components(full, typos).join(full.select("node", "kind", "main", "flat", "tag", "ini", "n"), "node"), "p5-entities")
 
     # initials follow the one person of that surname and initial; other initials help where several fit
@@ -377,8 +392,8 @@ def link(names: DataFrame, rare: int = 2) -> DataFrame:
     one = F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("best") == 1, F.col("best")[0])
     attached = fits.select(F.col("node").alias("x"), one.alias("y"))
     lost = short.join(attached.select(F.col("x").alias("node")), "node", "left_anti").select("node", "main", "ini", F.explode(code("main")).alias("code"))
-    near = lost.join(entity.where("kind = 'author'").select("label", F.col("main").alias("b"), F.substring("tag", 1, 1).alias("ini"), F.explode(code("main")).alias("code")), ["ini", "code"])
-    near = _close(near.select(F.col("node").alias("x"), F.col("label").alias("y"), F.col("main").alias("a"), "b").distinct()).groupBy("x").agg(F.collect_set("y").alias("ys")).where("size(ys) = 1").select("x", F.col("ys")[0].alias("y"))
+    near = lost.join(entity.where("kind = 'author'").select("label", F.col("main").alias("b"), F.substring("tag", 1, 1).alias("ini"), "n", F.explode(code("main")).alias("code")), ["ini", "code"])
+    near = _close(near.select(F.col("node").alias("x"), F.col("label").alias("y"), F.col("main").alias("a"), "b", F.col("n").alias("nx"), F.col("n").alias("ny")).distinct()).groupBy("x").agg(F.collect_set("y").alias("ys")).where("size(ys) = 1").select("x", F.col("ys")[0].alias("y"))
 
     # a place alone and an acronym follow the one body they fit
     bodies = entity.where("kind = 'institution'")
@@ -400,6 +415,11 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return lists.where(F.col("name").isNotNull() & (F.trim("name") != "") & ~F.col("name").isin(*SENTINELS)).distinct()
 
 
+def members(df: DataFrame) -> DataFrame:
+    """``name_kind``, ``name`` and ``entity`` of every distinct spelling: the links without writing out all pairs."""
+    return link(distinct_names(df)).select(F.col("kind").alias("name_kind"), "name", "entity")
+
+
 def found(df: DataFrame) -> DataFrame:
     """``name_kind``, ``name_a``, ``name_b``: all pairs of spellings of one entity."""
     linked = settle(link(distinct_names(df)), "p5-linked")

@@ -44,6 +44,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_names.found(table(spark, d, "doc_records"))
 
 
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    return p5_names.members(table(spark, d, "doc_records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs.found(spread(table(spark, d, "gen_checkpoint"), "pair_id"))
 
@@ -68,7 +72,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
     return p10_stuffing.evidence(spread(table(spark, d, "documents"), "doc_id"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p5_found, p5_members, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_evidence)}
 
 # The canonical form of a field: points and commas between digits are kept under two private letters.
 _CANON = r"""replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

@@ -266,7 +266,17 @@ def test_errors_in_given_names_outside_the_list(spark):
     assert got == want
 
 
+def test_errors_in_three_forms_and_short_names(spark):
+    forms = lambda s: [f"Jennifer {s}", f"{s}, Jennifer", f"JENNIFER {s.upper()}", f"Dr. Jennifer {s}", f"{s}, Jennifer A."]
+    groups = [[*forms("Marrowby"), *forms("Marowby")[:3]], [*forms("Wang"), "Jennifer Wnag"], [*forms("Quillfeather"), "Quilfaether, Jennifer"], ["Sanjay Ottersley", "Ottersley Sanjay", "Snajay Ottersley", "Ottersley, Sanjay"]]
+    got, want = name_pairs(spark, groups)
+    assert got == want
+    rows = p5_names.members(records(spark, [{"row_id": 1, "authors": groups[0]}])).collect()
+    assert len({r.entity for r in rows}) == 1 and len(rows) == 8
+
+
 def test_parts_of_names():
+    assert p5_names.edits_within_two("quillfeather", "quilfaether") and not p5_names.edits_within_two("abcdef", "abxyzf")
     assert p5_names.parse_person("Doe, J. R.") == ("doe", "", "j", "r") and p5_names.parse_person("Bob Doe") == ("doe", "robert", "r", "")
     assert p5_names.parse_person("Dr.") == ("", "", "", "") and p5_names.edits_within_one("abcd", "abdc") and not p5_names.edits_within_one("abcd", "acbde")
     assert abs(p5_names.jaro_winkler("martha", "marhta") - 0.9611) < 1e-3

@@ -30,6 +30,10 @@ from ferrosieve.llm.perceptron import AveragedPerceptron
 
 #: Rows from which the terminal-context model is fitted, taken in order of a hash of the id.
 TRAINING_ROWS = 1500
+#: Answers of so many words say too little of their end and language to be judged by them.
+SHORT_ANSWER = 5
+#: An answer declines if the sentences that decline make up this share of it, or more.
+DECLINED_SHARE = 0.3
 FIELD = "summary_of_technical_relevance"
 
 # Answers that stand for no answer.
@@ -143,11 +147,24 @@ def copies(question: str, answer: str) -> bool:
     q, a = _plain(question), _plain(answer)
     if not q or len(a) < 0.8 * len(q):
         return False
+    words, asked = a.split(), set(q.split())
+    if sum(w in asked for w in words) < 0.6 * len(words) and len(words) > 8:
+        return False  # compression cannot hide that many new words
     packer = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(q.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
     least = len(packer.compress(q.encode()))
     return len(packer.compress(a.encode())) - least <= 18 and len(_plain(answer).replace(q, "")) <= 0.35 * len(q) + 8
 
 
+# Abbreviations with a point after which a sentence goes on, by language.
+ABBREVIATIONS = {
+    "en": "e.g. i.e. cf. fig. figs. eq. eqs. sec. no. vs. approx. resp. incl. dr. prof.",
+    "de": "z.b. d.h. vgl. bzw. ca. abb. tab. nr. sog. evtl. inkl.",
+    "fr": "p.ex. c.-à-d. fig. env. éq. n°.",
+    "es": "p.ej. núm. aprox. fig. ec.",
+}
+_ABBREVIATIONS = frozenset(w for ws in ABBREVIATIONS.values() for w in ws.split())
+
+
 def end_features(text: str) -> list[str]:
     """What the end of a text looks like."""
     t = text.rstrip()
@@ -162,53 +179,49 @@ def end_features(text: str) -> list[str]:
     return [
         "sign=" + sign, "line", "last=" + re.sub(r"\d", "0", last.lower())[-12:],
         f"sign+short={sign}{len(last.strip('.()')) <= 4}", "opened=" + sign if opened else "even", f"dots={last.count('.')}{sign}",
-        "sign+before=" + sign + before.lower()[-8:],
+        "sign+before=" + sign + before.lower()[-8:], f"open={opened}", f"short={last.lower().lstrip('(') in _ABBREVIATIONS}",
     ]
 
 
 def training_rows(texts: list[str], seed: int = 11) -> list[tuple[list[str], str]]:
-    """Prefixes of texts that end with a sentence, and prefixes cut elsewhere."""
+    """Prefixes of texts that end with a sentence or a list item, and prefixes cut elsewhere, also behind the point of an abbreviation."""
     rng, rows = random.Random(seed), []
-    abbreviations = ["(see e.g.", "(see Fig.", "approx.", "cf.", "i.e.", "(vgl. z. B.", "(p. ej.", "resp.", "e.g."]  # fixed values: ends that no sentence has
     for t in texts:
-        ends = [m.start() for m in re.finditer(r"(?<=[.!?。])(?=\s+[A-ZÄÖÜÉÀ¿぀-鿿])", t)]
-        rows += [(end_features(t[:e]), "whole") for e in ends[:4]]
-        if t.rstrip()[-1:] in ".!?。" and not t.rstrip().endswith(tuple(abbreviations)):
+        ends = [m.start() for m in re.finditer(r"(?<=[.!?。！？])(?=\s+[A-ZÄÖÜÉÀ¿¡\u3040-\u30ff\u4e00-\u9fff]|[\u3040-\u30ff\u4e00-\u9fff])", t)]
+        inner = [m.start() for m in re.finditer(r"(?<=[a-z]\.)(?=\s+[a-z(\d])", t)]
+        rows += [(end_features(t[:e]), "whole") for e in rng.sample(ends, min(4, len(ends)))]
+        rows += [(end_features(t[:e]), "cut") for e in rng.sample(inner, min(4, len(inner)))] * 3
+        lines = t.split("\n")
+        items = [k for k in range(1, len(lines)) if _BULLET.match(lines[k]) and _BULLET.match(lines[k - 1])]
+        rows += [(end_features("\n".join(lines[: k + 1])), "whole") for k in items[-3:]]
+        if t.rstrip()[-1:] in ".!?。！？":
             rows.append((end_features(t), "whole"))
         for _ in range(3):
             cut = rng.randrange(len(t) // 3, len(t)) if len(t) > 30 else 0
-            if cut and not re.search(r"[.!?。\n]\s*$", t[:cut]) and not re.search(r"\n\s*[-*•–\d]", t[:cut]):
+            if cut and not re.search(r"[.!?。！？\n]\s*$", t[:cut]) and not _BULLET.match(t[:cut].rsplit("\n", 1)[-1] + " x"):
                 rows.append((end_features(t[:cut]), "cut"))
-                if rng.random() < 0.3:
-                    rows.append((end_features(t[:cut].rsplit(" ", 1)[0] + " " + rng.choice(abbreviations)), "cut"))
-        lines = t.split("\n")
-        if len(lines) > 2 and _BULLET.match(lines[-1]) and _BULLET.match(lines[-2]):
-            rows.append((end_features("\n".join(lines[:-1])), "whole"))
-    rows += [(end_features(t), "whole") for t in _WHOLE] * 5 + [(end_features(t), "cut") for t in _CUT] * 5
-    rows += [(end_features(f"It was measured.\n- {w}"), "whole") for w in ("recall", "error rate", "frame rate", "loss", "latency")] * 3
+                if rng.random() < 0.5:
+                    opened = rng.choice(("", "("))
+                    rows.append((end_features(f"{t[:cut].rsplit(' ', 1)[0]} {opened}{rng.choice(sorted(_ABBREVIATIONS))}"), "cut"))
     return rows
 
 
-# Whole sentences and unfinished ones that every model is trained on besides the sample.
-_WHOLE = (
-    "The error stays below two per cent.", "It was measured on the road (see Table 2).", "Why does this matter?", "He said that \"it works.\"", "Das Verfahren ist bei Regen stabil.",
-    "La mesure est répétée chaque jour !", "El resultado es bueno.", "精度は高い。", "The result holds for all sensors, as the report states in its last part.",
-)
-_CUT = (
-    "The error stays below two per", "It was measured on the", "According", "Das Verfahren ist bei", "La mesure est répétée, car", "El resultado es", "精度は", "as soon as t", "The result,",
-    "It was measured on the road (see", "shown in Fig.", "the range (approx.", "for several sensors, e.g.",
-)
-
-
 def fit_terminal_model(df: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "pair_id") -> AveragedPerceptron:
-    """Terminal-context model from at most ``rows`` answers."""
-    sample = df.select("answer").where(F.length("answer") > 60).orderBy(F.xxhash64(F.col(id_col)), "answer").limit(rows).collect()
-    texts = [t for (a,) in sample if (t := parse_answer(a)[0]) and len(t) > 60]
+    """Terminal-context model from at most ``rows`` answers.
+
+    A bound on the hash of the id, from the number of pairs, keeps little more than that before anything is sorted, so what
+    reaches the driver does not grow with the table or its partitions.
+    """
+    span, total = 1 << 30, df.count()
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))
+    near = df.where(place < F.lit(min(span, span * 2 * rows // max(total, 1) + 1))).select("answer", place.alias("place"))
+    sample = near.where(F.length("answer") > 60).orderBy("place", "answer").limit(rows).collect()
+    texts = [t for a, _ in sample if (t := parse_answer(a)[0]) and len(t) > 60]
     return AveragedPerceptron(["whole", "cut"]).train(training_rows(texts))
 
 
-def defect(question: str | None, answer: str | None, terminal: AveragedPerceptron) -> str | None:
-    """The defect of a pair, or None."""
+def defect(question: str | None, answer: str | None, terminal: AveragedPerceptron, short_answer: int = SHORT_ANSWER) -> str | None:
+    """The defect of a pair, or None. Answers of up to ``short_answer`` words (five characters each in CJK) are neither truncated nor in a wrong language."""
     if question is None or not question.strip() or question.strip().lower() == "nan":
         return None
     if answer is None or not answer.strip() or answer.strip().lower() in PLACEHOLDERS:
@@ -223,12 +236,12 @@ def defect(question: str | None, answer: str | None, terminal: AveragedPerceptro
     if text.strip().lower() in PLACEHOLDERS:
         return None
     sentences = [s for s in _SENTENCE.split(text.strip()) if s.strip()]
-    declined = sum(bool(_REFUSAL.search(s.lower())) for s in sentences)
-    if declined and len(sentences) - declined <= 2 and len(text) <= 400:
+    declined = [s for s in sentences if _REFUSAL.search(s.lower())]
+    if declined and (len(sentences) - len(declined) <= 2 or 2 * len(declined) >= len(sentences)) and sum(map(len, declined)) >= DECLINED_SHARE * len(text):
         return "refusal"
     if copies(question, text):
         return "copies_question"
-    if len(text.split()) > 5 or _CJK.search(text) and len(text) > 25:
+    if len(text.split()) > short_answer or _CJK.search(text) and len(text) > 5 * short_answer:
         if terminal.predict(end_features(text)) == "cut":
             return "truncated"
         got = language(text)

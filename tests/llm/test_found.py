@@ -301,6 +301,15 @@ def test_defects(spark, sf_dir):
     assert judge(q, "35.2 %") is None and judge(q, f'{{"summary_of_technical_relevance": "{german}"}}') == "wrong_language"
 
 
+def test_long_refusals_and_bounded_sample(spark, sf_dir):
+    df = table(spark, sf_dir, "gen_checkpoint")
+    terminal = p6_pairs.fit_terminal_model(df)
+    long = "I am sorry, but I cannot help with this question about the sensor and its behaviour on a public road in the rain. " * 5
+    assert len(long) > 441 and p6_pairs.defect("How does the sensor behave in the rain?", long, terminal) == "refusal"
+    many = df.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).selectExpr("copy * 1000 + pair_id AS pair_id", "answer").repartition(50)
+    assert p6_pairs.fit_terminal_model(many, rows=50).weights
+
+
 def test_defects_of_nothing(spark, sf_dir):
     df = table(spark, sf_dir, "gen_checkpoint")
     assert p6_pairs.found(df.limit(0)).count() == 0

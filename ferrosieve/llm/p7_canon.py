@@ -5,13 +5,14 @@ people write it (words rotated, abbreviated, in the plural, cut to the leading w
 reduced to its letters and digits. A form of n characters that may differ by k edits is cut into k + 1
 segments; an edit can spoil only one of them, so a value within k edits has at least one segment at
 its place, shifted by k at most. The join is an equality on (field, length, segment number, substring); the candidates
-are verified with ``levenshtein``. Values that no form matches are found by an anti-join and reported with -1.
+are verified with ``levenshtein``. Of a value that matches no form, every run of neighbouring words is tried likewise, since words
+may be added to a name anywhere. Values that no form matches are found by an anti-join and reported with -1.
 
 Values are made distinct before the join, so a frequent value is matched once however many rows hold it.
 The list of forms grows with the reference list only.
 
 Defined results: null and blank elements, ``None``, and elements spelled exactly like an entry give no
-row. Of several entries within reach the fewest edits win, then the smaller term_id. A null or empty list
+row. Of several entries within reach the fewest edits win, then the one nearest in length, then the smaller term_id. A null or empty list
 gives no row; repeated elements give a row for each place.
 """
 
@@ -90,42 +91,35 @@ joined AS (
   UNION ALL
   SELECT field_name, term_id, array_join(transform(filter(split(array_join(w, '-'), '-'), x -> x NOT IN ({stops})), x -> substring(x, 1, 1)), ''), 2 FROM words WHERE size(split(array_join(w, '-'), '-')) > 2),
 compact AS (SELECT DISTINCT field_name, term_id, regexp_replace(t, '[^0-9a-z]', '') AS form, full FROM joined),
-clear AS (SELECT field_name, form FROM compact WHERE form <> '' GROUP BY field_name, form HAVING count(DISTINCT term_id) = 1)
-SELECT c.field_name, c.term_id, c.form, max(CASE WHEN full = 2 THEN 0 ELSE {_EDITS.format("c.form")} END) AS k
-FROM compact c JOIN clear ON clear.field_name = c.field_name AND clear.form = c.form
+spans AS (SELECT field_name, term_id, length(array_join(w, '')) AS whole FROM words)
+SELECT c.field_name, c.term_id, c.form, max(s.whole) AS whole, max(CASE WHEN full = 2 THEN 0 ELSE {_EDITS.format("c.form")} END) AS k
+FROM compact c JOIN spans s ON s.field_name = c.field_name AND s.term_id = c.term_id WHERE form <> ''
 GROUP BY c.field_name, c.term_id, c.form"""
 
 
-# What people add to a name; a rotation of the words may have torn an addition apart.
+# What people add to a name besides words: trade signs, remarks in brackets, a bracket that a cut or turn left open, counts and
+# versions, articles. Words are handled by the windows below.
 _ADDITIONS = [
     (r"[\\u00ae\\u2122\"\\u201c\\u201d\\u00ab\\u00bb]", " "),
     (r"\\([^()]*\\)|\\[[^\\[\\]]*\\]", " "),
     (r"^[^(\\[]*[)\\]]|[(\\[][^)\\]]*$", " "),
-    (r"@\\s*[0-9.]*\\s*hz|^\\s*hz\\b|@\\s*[0-9.]*|\\bhz\\s*$", " "),
-    (r"\\broo*f[- _]?mounted\\b|\\broo+f[- _][a-z]+", " "),
-    (r"^(.*)\\+(.*)$", r"$1 + $2"),
-    (r"\\+\\s*own[ _]*plug[- _]?in|\\bplug-in\\b|\\+\\s*own\\b|\\bown plug-in\\b|\\bown\\b(?=.*\\+)|\\+", " "),
-    (r"\\b[0-9]+\\s*x(?=[\\s_-])|\\bv?[0-9]+([.][0-9]+)*\\b|v[0-9]+([.][0-9]+)*\\b|\\brelease\\b", " "),
-    (r"^[\\s_]*(one|the|a)[\\s_]+", " "),
-    (r"[\\s_]+(one|the)[\\s_/,-]*$|[-/,]\\s*(one|the)\\s|(?<![a-z])one|(?<![a-z])the[\\s_-]+", " "),
-    (r"[^0-9a-z]", ""),
+    (r"\\b[0-9]+\\s*x(?=[\\s_-])|\\bv?[0-9]+([.][0-9]+)*\\b|v[0-9]+([.][0-9]+)*\\b", " "),
+    (r"^[\\s_]*(one|the|a)[\\s_]+|[\\s_/,-]+(one|the)[\\s_/,-]*$", " "),
 ]
 
 
-def _compact_sql(column: str) -> str:
-    """Letters and digits of a value without the usual additions."""
+def _cleaned_sql(column: str) -> str:
+    """A value in lower case without the usual additions."""
     out = f"lower({column})"
     for pattern, by in _ADDITIONS:
         out = f"regexp_replace({out}, '{pattern}', '{by}')"
     return out
 
 
-_MATCH = """
-WITH typed AS (SELECT DISTINCT field_name, value FROM {elements}),
-plain AS (SELECT field_name, value, {COMPACT} AS v FROM typed),
-vals AS (SELECT DISTINCT field_name, v FROM plain WHERE v <> ''),
+# The pigeonhole join of (field_name, v) with the forms: field_name, v, term_id, whole, n, d.
+_NEAR = """
 segs AS (
-  SELECT field_name, term_id, form, k, length(form) AS n, i,
+  SELECT field_name, term_id, form, whole, k, length(form) AS n, i,
          substring(form, div(length(form) * i, k + 1) + 1, div(length(form) * (i + 1), k + 1) - div(length(form) * i, k + 1)) AS seg
   FROM (SELECT *, explode(sequence(0, k)) AS i FROM {forms})),
 lens AS (SELECT field_name, v, explode(sequence(greatest(1, length(v) - 2), length(v) + 2)) AS n FROM vals),
@@ -134,36 +128,46 @@ places AS (SELECT *, explode(sequence(-k, k)) AS shift FROM parts WHERE abs(leng
 keys AS (
   SELECT DISTINCT field_name, v, n, i, substring(v, div(n * i, k + 1) + 1 + shift, div(n * (i + 1), k + 1) - div(n * i, k + 1)) AS seg
   FROM places WHERE div(n * i, k + 1) + shift >= 0),
-short AS (
-  SELECT vals.field_name, v, term_id, 0 AS d FROM vals JOIN {forms} f ON f.field_name = vals.field_name AND f.form = v),
 near AS (
-  SELECT s.field_name, keys.v, s.term_id, levenshtein(keys.v, s.form, s.k) AS d
-  FROM keys JOIN segs s ON s.field_name = keys.field_name AND s.n = keys.n AND s.i = keys.i AND s.seg = keys.seg),
-best AS (
-  SELECT field_name, v, min(struct(d, term_id)).term_id AS term_id
-  FROM (SELECT * FROM short UNION ALL SELECT * FROM near WHERE d >= 0) GROUP BY field_name, v)
-SELECT p.field_name, p.value, b.term_id FROM plain p JOIN best b ON b.field_name = p.field_name AND b.v = p.v
+  SELECT vals.field_name, v, term_id, whole, length(form) AS n, 0 AS d FROM vals JOIN {forms} f ON f.field_name = vals.field_name AND f.form = v
+  UNION ALL
+  SELECT s.field_name, keys.v, s.term_id, s.whole, s.n, levenshtein(keys.v, s.form, s.k) AS d
+  FROM keys JOIN segs s ON s.field_name = keys.field_name AND s.n = keys.n AND s.i = keys.i AND s.seg = keys.seg)"""
+
+_MATCH = (
+    """
+WITH vals AS (SELECT DISTINCT field_name, v FROM {plain} WHERE v <> ''),"""
+    + _NEAR
+    + """,
+best AS (SELECT field_name, v, min(struct(d, abs(whole - length(v)) AS rest, term_id)).term_id AS term_id FROM near WHERE d >= 0 GROUP BY field_name, v)
+SELECT p.field_name, p.value, b.term_id FROM {plain} p JOIN best b ON b.field_name = p.field_name AND b.v = p.v
 """
+)
 
-_PREFIX = """
-WITH left_over AS (SELECT DISTINCT e.field_name, e.value FROM {elements} e LEFT ANTI JOIN {matched} m ON m.field_name = e.field_name AND m.value = e.value),
-plain AS (SELECT field_name, value, {COMPACT} AS v FROM left_over),
-long_forms AS (SELECT field_name, term_id, form, k, length(form) AS n FROM {forms} WHERE length(form) >= 8),
-sizes AS (SELECT DISTINCT field_name, n, k FROM long_forms),
-segs AS (
-  SELECT *, substring(form, div(n * i, k + 1) + 1, div(n * (i + 1), k + 1) - div(n * i, k + 1)) AS seg
-  FROM (SELECT *, explode(sequence(0, k)) AS i FROM long_forms)),
-ends AS (SELECT p.field_name, value, substring(v, 1, n) AS head, n, k FROM plain p JOIN sizes s ON s.field_name = p.field_name AND length(v) > n
-  UNION ALL SELECT p.field_name, value, substring(v, -n, n), n, k FROM plain p JOIN sizes s ON s.field_name = p.field_name AND length(v) > n),
-places AS (SELECT *, explode(sequence(-k, k)) AS shift FROM (SELECT *, explode(sequence(0, k)) AS i FROM ends)),
-keys AS (
-  SELECT DISTINCT field_name, value, head, n, i, substring(head, div(n * i, k + 1) + 1 + shift, div(n * (i + 1), k + 1) - div(n * i, k + 1)) AS seg
-  FROM places WHERE div(n * i, k + 1) + shift >= 0),
-near AS (
-  SELECT s.field_name, keys.value, s.term_id, s.n, levenshtein(keys.head, s.form, s.k) AS d
-  FROM keys JOIN segs s ON s.field_name = keys.field_name AND s.n = keys.n AND s.i = keys.i AND s.seg = keys.seg)
-SELECT field_name, value, min(struct(d - n AS score, term_id)).term_id AS term_id FROM near WHERE d = 0 OR d > 0 AND n >= 10 GROUP BY field_name, value
+# Of a value that matches no form: its runs of neighbouring words, and what is left without an inner run of up to three words (a name turned
+# around an addition). An article may be glued to a word. The longest match with the fewest edits wins; short forms are not misspelt here.
+_WINDOWS = """
+WITH words AS (
+  SELECT field_name, value, filter(split(cleaned, '[^0-9a-z]+'), x -> x <> '') AS w FROM {plain} p
+  WHERE NOT EXISTS (SELECT 1 FROM {matched} m WHERE m.field_name = p.field_name AND m.value = p.value)),
+both AS (SELECT DISTINCT field_name, value, explode(array(w, transform(w, x -> regexp_replace(x, '^(one|the)(?=[a-z])', '')))) AS w FROM words),
+starts AS (SELECT field_name, value, w, explode(sequence(1, size(w))) AS i FROM both WHERE size(w) > 0),
+runs AS (SELECT field_name, value, w, i, explode(sequence(i, least(i + 7, size(w)))) AS j FROM starts)
+SELECT DISTINCT field_name, value, v FROM (
+  SELECT field_name, value, array_join(slice(w, i, j - i + 1), '') AS v FROM runs
+  UNION ALL
+  SELECT field_name, value, array_join(concat(slice(w, 1, i - 1), slice(w, j + 1, size(w))), '') AS v FROM runs WHERE i > 1 AND j < size(w) AND j - i < 3)"""
+
+_INSIDE = (
+    """
+WITH vals AS (SELECT DISTINCT field_name, v FROM {windows} WHERE length(v) >= 5),"""
+    + _NEAR
+    + """
+SELECT w.field_name, w.value, min(struct(n.d - n.n AS score, abs(n.whole - length(w.v)) AS rest, n.term_id)).term_id AS term_id
+FROM {windows} w JOIN near n ON n.field_name = w.field_name AND n.v = w.v WHERE n.d = 0 OR n.d > 0 AND n.n >= 10
+GROUP BY w.field_name, w.value
 """
+)
 
 
 def match(findings: DataFrame, terms: DataFrame, cut_fields: tuple[str, ...] = ("simulation_tools_or_solvers",)) -> DataFrame:
@@ -183,9 +187,15 @@ def match(findings: DataFrame, terms: DataFrame, cut_fields: tuple[str, ...] = (
     )
     elements = settle(elements, "p7-elements")
     forms = settle(sql(_forms_sql(cut_fields), terms=terms.select("field_name", "term_id", "canonical_name")), "p7-forms")
-    compact = _compact_sql("value")
-    direct = settle(sql(_MATCH.replace("{COMPACT}", compact), elements=elements, forms=forms), "p7-direct")
-    added = sql(_PREFIX.replace("{COMPACT}", compact), elements=elements, matched=direct, forms=forms)
+    plain = sql(
+        f"""SELECT field_name, value, cleaned, regexp_replace(cleaned, '[^0-9a-z]', '') AS v
+            FROM (SELECT field_name, value, {_cleaned_sql("value")} AS cleaned FROM (SELECT DISTINCT field_name, value FROM {{elements}}))""",
+        elements=elements,
+    )
+    plain = settle(plain, "p7-values")
+    direct = settle(sql(_MATCH, plain=plain, forms=forms), "p7-direct")
+    windows = settle(sql(_WINDOWS, plain=plain, matched=direct), "p7-windows")
+    added = sql(_INSIDE, windows=windows, forms=forms)
     return sql(
         """SELECT finding_id, e.field_name, CAST(list_pos AS int) AS list_pos, coalesce(m.term_id, -1L) AS term_id
            FROM {e} e LEFT JOIN {m} m ON m.field_name = e.field_name AND m.value = e.value""",

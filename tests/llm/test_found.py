@@ -77,6 +77,25 @@ def test_editor_on_held_out_words(spark):
     assert [editor.correct(w) for w in ("driving", "Xanidcta", "BK-87", "4D", "km", "日本", "x" * 10_000)] == [None] * 7
 
 
+def test_lexicon_keeps_every_word():
+    rng = p1_repair.np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 63, 5000, dtype=p1_repair.np.uint64) << p1_repair.np.uint64(14)  # all start at few places
+    words = [f"w{i}" for i in range(3000)]
+    own = p1_repair.np.array([p1_repair.xxhash.xxh64_intdigest(w) for w in words], dtype=p1_repair.np.uint64)
+    lexicon = p1_repair.Lexicon.build(p1_repair.np.concatenate([own, hashes]), p1_repair.np.full(8000, 3, p1_repair.np.uint8), 100)
+    assert all(lexicon.level(w) == 3 for w in words) and lexicon.level("other") == 0
+
+
+def test_noise_does_not_depend_on_the_size_of_the_corpus(spark):
+    texts = corpus(40)
+    bad = [texts[1].replace("vehicle", "vchicle"), texts[3].replace("estimation", "cstimatlon"), texts[2]]
+    rows = [{"row_id": i, "full_text": t} for i, t in enumerate([*texts, *bad])]
+    small = {(r.row_id, r.noise_kind) for r in p1_repair.found(records(spark, rows)).collect()}
+    many = [{"row_id": k * 100 + r["row_id"], "full_text": r["full_text"]} for k in range(10) for r in rows]
+    large = {(r.row_id % 100, r.noise_kind) for r in p1_repair.found(records(spark, many)).collect()}
+    assert small == {(40, "misrecognition"), (41, "misrecognition")} and (41, "misrecognition") in large
+
+
 # 2
 
 
@@ -329,6 +348,15 @@ def test_typed_values(spark):
     assert p7_canon.match(f.limit(0), terms).count() == 0 and p7_canon.match(f, terms.limit(0)).count() > 0
 
 
+def test_additions_anywhere_and_forms_of_two_entries(spark):
+    names = ["Flash lidar", "Tyrelux Contact Model", "Simvelo Traffic Engine", "Simvelo Rain Engine", "Hyperspectral line scanner"]
+    terms = spark.createDataFrame([(i + 1, "simulation_tools_or_solvers", n) for i, n in enumerate(names)], "term_id long, field_name string, canonical_name string")
+    values = ["Tyrelux academic", "campus Tyrelux", "line scanner, borrowed once Hyperspectral", "oneFlash lidar", "Simvelo", "new Flash lidar unit B", "Flush counter", "lidar " * 200]
+    f = spark.createDataFrame([(7, None, values)], "finding_id long, sensor_types array<string>, simulation_tools_or_solvers array<string>")
+    got = [r.term_id for r in p7_canon.match(f, terms).orderBy("list_pos").collect()]
+    assert got == [2, 2, 5, 1, 4, 1, -1, -1]
+
+
 # 8
 
 

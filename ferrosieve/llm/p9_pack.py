@@ -6,7 +6,7 @@ containers are resolved by rank, the gaps are updated, and the next step follows
 size. Documents of equal size are interchangeable, so the sweep runs on size classes: its state is a
 histogram of at most ``capacity`` rows and a table of rank intervals, whatever the number of documents.
 Only the histogram reaches the driver. The documents themselves are ranked within their size on the
-executors (hot sizes are split by salts, offsets come from counts) and find their container through a
+executors (sizes with many documents are split by salts from their counts, offsets come from counts) and find their container through a
 join with the interval table.
 
 Defined results: a text above the capacity is cut into full containers and one rest; no other item is
@@ -78,11 +78,11 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return out, used
 
 
-def pack(sizes: DataFrame, capacity: int = 2048, id_col: str = "doc_id", size_col: str = "n_tokens", salts: int = 32) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 2048, id_col: str = "doc_id", size_col: str = "n_tokens", rows_per_task: int = 500_000) -> DataFrame:
     """Containers of a table of ids and sizes.
 
     One row per piece: ``id_col``, ``piece_no`` from 0, ``first_unit`` (offset in the item), ``n_units``,
-    ``container_id``.
+    ``container_id``. A size of more than ``rows_per_task`` pieces is ranked in as many parts as that takes.
     """
     spark = sizes.sparkSession
     n = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
@@ -90,19 +90,21 @@ def pack(sizes: DataFrame, capacity: int = 2048, id_col: str = "doc_id", size_co
         F.concat(F.array_repeat(F.lit(capacity).cast("long"), (n / capacity).cast("int")), F.filter(F.array(n % capacity), lambda x: x > 0))
     )
     pieces = sizes.select(F.col(id_col), F.posexplode(cut).alias("piece_no", "n_units"))
-    pieces = pieces.select(id_col, "piece_no", (F.col("piece_no") * F.lit(capacity).cast("long")).alias("first_unit"), "n_units", F.pmod(F.xxhash64(id_col, "piece_no"), F.lit(salts)).alias("salt"))
-    pieces = settle(pieces, "p9-pieces")
-    parts = settle(pieces.where("n_units > 0").groupBy("n_units", "salt").agg(F.count("*").alias("n")), "p9-parts")
-    histogram = {r.n_units: r.n for r in parts.groupBy("n_units").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    pieces = settle(pieces.select(id_col, "piece_no", (F.col("piece_no") * F.lit(capacity).cast("long")).alias("first_unit"), "n_units"), "p9-pieces")
+    histogram = {r.n_units: r.n for r in pieces.where("n_units > 0").groupBy("n_units").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    salts = {size: -(-n // rows_per_task) for size, n in histogram.items()}
+    crowded = [F.struct(F.lit(size).cast("long").alias("size"), F.lit(k).alias("k")) for size, k in sorted(salts.items()) if k > 1]  # at most `capacity` entries
+    parts_of = F.coalesce(F.element_at(F.map_from_entries(F.array(*crowded)), F.col("n_units")), F.lit(1)) if crowded else F.lit(1)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece_no"), parts_of.cast("long")))
     intervals, _ = best_fit(histogram, capacity)
     plan = spark.createDataFrame(intervals or [(0, 0, 0, 0, 1)], "n_units long, lo long, hi long, base long, each long")
-    if len(intervals) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
-    offsets = parts.withColumn("offset", F.sum("n").over(Window.partitionBy("n_units").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("n_units", "salt", F.coalesce("offset", F.lit(0)).alias("offset"))  # at most capacity x salts rows
+    offsets = salted.where("n_units > 0").groupBy("n_units", "salt").agg(F.count("*").alias("n"))
+    offsets = offsets.withColumn("offset", F.sum("n").over(Window.partitionBy("n_units").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
+    offsets = offsets.select("n_units", "salt", F.coalesce("offset", F.lit(0)).alias("offset"))  # one row a size and salt
     local = F.row_number().over(Window.partitionBy("n_units", "salt").orderBy(id_col, "piece_no")) - 1
-    ranked = pieces.withColumn("local", local).join(F.broadcast(offsets), ["n_units", "salt"], "left").withColumn("rank", F.col("local") + F.col("offset"))
-    p, r = plan.alias("p"), ranked.alias("r")
+    few = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    ranked = salted.withColumn("local", local).join(few(offsets, sum(salts.values())), ["n_units", "salt"], "left").withColumn("rank", F.col("local") + F.col("offset"))
+    p, r = few(plan, len(intervals)).alias("p"), ranked.alias("r")
     at = (F.col("r.n_units") == F.col("p.n_units")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     container = F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))
     return r.join(p, at, "left").select(f"r.{id_col}", "piece_no", "first_unit", F.col("r.n_units").alias("n_units"), container.cast("long").alias("container_id"))

@@ -416,6 +416,16 @@ def test_packing(spark):
     assert p9_pack.pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_a_hot_size(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 2048 ELSE 1 + id % 700 END AS n_tokens")
+    rows = [p9_pack.pack(df, rows_per_task=n).where("n_units > 0").collect() for n in (40, 500_000)]
+    for got in rows:
+        load = defaultdict(int)
+        for r in got:
+            load[r.container_id] += r.n_units
+        assert max(load.values()) <= 2048 and len(got) == 3000 and len(load) == len({r.container_id for r in rows[0]})
+
+
 def test_packing_is_tight(spark, sf_dir):
     rows = queries.QUERIES["p9_containers"](spark, sf_dir).where("n_units > 0").collect()
     used = len({r.container_id for r in rows})

@@ -182,3 +182,18 @@ def restore_case(line: Column, acronyms: dict[str, str], first: bool) -> Column:
 
     words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
     return F.regexp_replace(F.array_join(F.transform(words, word), " "), r"^Arule\b", "A rule")
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital: ``jean-pierre o'neil 3d`` gives ``Jean-Pierre O'Neil 3D``; ``initcap`` sees blanks only."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
+
+
+def title_cases(texts: Column) -> Column:
+    """``title_case`` of each element."""
+    return F.transform(texts, title_case)
+
+
+def json_path(text: Column, path: str, kind: str, default: object) -> Column:
+    """A value inside a JSON text by its path; the default where the text, the path or the type does not fit."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), path, kind), F.lit(default))

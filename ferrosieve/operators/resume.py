@@ -26,12 +26,16 @@ def fully_scored(a: Column, b: Column) -> Column:
     return a.isNotNull() & b.isNotNull()
 
 
-def scored_and_open(generated: DataFrame, scores: DataFrame, key: str, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    """Scores that are complete for generated rows, and generated rows still to score with what they have so far."""
+def scored_and_open(generated: DataFrame, scores: DataFrame, key: str, a: str, b: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scores that are complete for generated rows, and generated rows still to score with what they have so far.
+
+    Of several rows with a key the last one by ``order`` wins, for each score by itself; without an order the largest score.
+    """
+    of = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order or c))).alias(c)
+    scores = scores.groupBy(key).agg(of(a), of(b))
     complete = scores.where(fully_scored(F.col(a), F.col(b)))
     done = complete.join(generated.select(key).distinct(), key, "left_semi")
-    partial = scores.select(key, F.col(a), F.col(b)).dropDuplicates([key])
-    return done, generated.join(complete.select(key), key, "left_anti").join(partial, key, "left")
+    return done, generated.join(complete.select(key), key, "left_anti").join(scores, key, "left")
 
 
 def keyed_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -62,3 +66,17 @@ def lookup(df: DataFrame, key: str, table: dict[str, str], name: str, default: C
     """A value from a small fixed table, or the default."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return df.withColumn(name, F.coalesce(F.try_element_at(pairs, F.col(key)), default))
+
+
+def known_only(rows: DataFrame, known: DataFrame, key: str, known_key: str) -> DataFrame:
+    """Rows whose key another table holds; repeated keys there do not repeat a row."""
+    return rows.join(known.select(F.col(known_key).alias(key)), key, "left_semi")
+
+
+def first_copies(df: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The smallest id of each distinct text and its number of ``copies``; null texts are left out.
+
+    Grouped by a digest: the shuffle moves 32 bytes a row instead of the text.
+    """
+    keyed = df.where(F.col(text).isNotNull()).select(id_col, F.sha2(text, 256).alias("_key"))
+    return keyed.groupBy("_key").agg(F.min(id_col).alias(id_col), F.count("*").alias("copies")).drop("_key")

@@ -50,54 +50,47 @@ def top_k(index: DataFrame, query: list[float], k: int = DEFAULT.top_k, where: M
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))
 
 
-def top_k_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", block: int = 2_000) -> DataFrame:
+def top_k_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", block: int = 2_000, most_bytes: int = 256_000_000) -> DataFrame:
     """The k nearest records of each query: ``query_id``, ``id_col``, ``distance``, ``rank``; exact.
 
-    The queries go to the executors in blocks of a checked number, each block a broadcast of at most
-    ``block`` vectors; each Arrow batch of the index is compared with a block in one matrix product and keeps its best
+    All queries whose vectors fit into ``most_bytes`` are broadcast at once and the index is scanned once; more of them take as many
+    scans as that needs. Each Arrow batch of the index is compared with ``block`` queries in one matrix product and keeps its best
     k a query, so what is shuffled is k rows a query and batch, not all pairs.
     """
     spark = index.sparkSession
-    total = queries.count()
+    numbered = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
+    total, size = numbered.agg(F.count("*"), F.max(F.size("v"))).first()
     id_type = index.schema[id_col].dataType.simpleString()
     query_type = queries.schema[query_id].dataType.simpleString()
     arrow_type = to_arrow_type(queries.schema[query_id].dataType)
-    numbered = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
-    blocks = max(1, -(-total // block))
+    scans = -(-total * (size or 1) * 8 // most_bytes)
     parts = []
-    for i in range(blocks):
-        mine = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-        held = [(r.q, np.asarray(r.v, dtype=np.float64)) for r in mine.collect()]
-        if not held:
+    for i in range(scans):
+        mine = numbered if scans == 1 else numbered.where(F.pmod(F.xxhash64("q"), F.lit(scans)) == i)
+        held = mine.toArrow()  # about most_bytes
+        if not held.num_rows:
             continue
-        names = [q for q, _ in held]
-        matrix = np.stack([v for _, v in held])
+        matrix = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(held.num_rows, -1)
         norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((names, matrix / np.where(norms == 0, np.nan, norms)[:, None]))
+        shared = spark.sparkContext.broadcast((held.column("q").to_pylist(), matrix / np.where(norms == 0, np.nan, norms)[:, None]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, unit = shared.value
+            names = pa.array(ids, arrow_type)
             for b in batches:
                 vectors = b.column(1)
                 if not len(vectors):
                     continue
-                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                rows = flat.reshape(len(vectors), -1)
+                rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
                 size = np.linalg.norm(rows, axis=1)
-                distance = 1.0 - (rows / np.where(size == 0, np.nan, size)[:, None]) @ unit.T
-                keys = b.column(0)
-                out_q, out_at, out_d = [], [], []
-                for j, q in enumerate(ids):
-                    d = distance[:, j]
-                    good = np.flatnonzero(~np.isnan(d))
-                    if len(good) > k:
-                        edge = np.partition(d[good], k - 1)[k - 1]
-                        good = good[d[good] <= edge]  # all ties of the last place stay
-                    out_q += [q] * len(good)
-                    out_at.append(good)
-                    out_d.append(d[good])
-                at = np.concatenate(out_at) if out_at else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, arrow_type), keys.take(pa.array(at)), pa.array(np.concatenate(out_d) if out_d else np.zeros(0))], names=[query_id, id_col, "distance"])
+                rows = rows / np.where(size == 0, np.nan, size)[:, None]
+                for start in range(0, len(ids), block):
+                    distance = 1.0 - rows @ unit[start : start + block].T
+                    near = np.where(np.isnan(distance), np.inf, distance)
+                    # all ties of the last place stay
+                    edge = np.partition(near, k - 1, axis=0)[k - 1] if len(near) > k else np.full(near.shape[1], np.inf)
+                    at, q = np.nonzero((near <= edge) & np.isfinite(near))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + start)), b.column(0).take(pa.array(at)), pa.array(distance[at, q])], names=[query_id, id_col, "distance"])
 
         parts.append(index.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, f"{query_id} {query_type}, {id_col} {id_type}, distance double"))
     if not parts:
@@ -106,6 +99,7 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, id
     return ranked.where(F.col("rank") <= k)
 
 
-def with_payload(hits: DataFrame, index: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
-    """Hits with columns of the index; the few hits are broadcast, text is read for them only."""
-    return index.select(id_col, *columns).join(F.broadcast(hits), id_col)
+def with_payload(hits: DataFrame, index: DataFrame, columns: list[str], id_col: str = "id", most: int = 10_000) -> DataFrame:
+    """Hits with columns of the index. Up to ``most`` hits are broadcast, so text is read where it lies; more are joined as the planner sees fit."""
+    few = hits.limit(most + 1).count() <= most
+    return index.select(id_col, *columns).join(F.broadcast(hits) if few else hits, id_col)

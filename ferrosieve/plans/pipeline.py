@@ -14,10 +14,12 @@ from ferrosieve.operators import context, models, resume, retrieve
 from ferrosieve.operators.chunking import chunk
 from ferrosieve.operators.index import VectorIndex
 from ferrosieve.operators.standardize import standardize
+from ferrosieve.sources.files import exists, read_checkpoint
 from ferrosieve.sources.sinks import append_rows
 from ferrosieve.tables import settle
 
 log = logging.getLogger("ferrosieve")
+SOURCES = ("arxiv", "epo_ops")
 
 
 def set_up_logging(path: str | None = None) -> None:
@@ -41,10 +43,7 @@ def prepare(docs: DataFrame, config: EngineConfig = DEFAULT, embedder: Callable[
 def ingest(fetched: DataFrame, index: VectorIndex, raw_path: str, order: str, config: EngineConfig = DEFAULT, embedder: Callable[[], models.Embedder] = models.HashEmbedder) -> tuple[int, int]:
     """New documents into the index; (fetched, chunks added). The raw documents, which mark what is done, are written last."""
     spark = fetched.sparkSession
-    try:
-        known = spark.read.parquet(raw_path)
-    except Exception:  # noqa: BLE001  nothing ingested yet
-        known = spark.createDataFrame([], fetched.schema)
+    known = spark.read.parquet(raw_path) if exists(spark, raw_path) else spark.createDataFrame([], fetched.schema)
     new = settle(resume.new_documents(fetched, known, order), "new-documents")
     chunks = settle(prepare(new, config, embedder), "new-chunks")
     index.upsert(chunks)
@@ -76,10 +75,7 @@ def answer(spark: SparkSession, index: DataFrame, question: str, k: int | None =
 def evaluate_questions(questions: DataFrame, index: DataFrame, checkpoint_path: str, k: int = DEFAULT.top_k, generator: Callable[[], models.Generator] = models.EchoGenerator, embedder: Callable[[], models.Embedder] = models.HashEmbedder) -> DataFrame:
     """Answers for all questions without a checkpoint; each stage is materialised, finished questions are never asked again."""
     spark = questions.sparkSession
-    try:
-        done = spark.read.parquet(checkpoint_path)
-    except Exception:  # noqa: BLE001  first run
-        done = spark.createDataFrame([], "question string, answer string, contexts array<string>, ground_truth string")
+    done = read_checkpoint(spark, checkpoint_path)
     open_ = resume.pending_questions(questions, done, distinct=True).withColumn("query_id", F.xxhash64("question"))
     vectors = settle(models.embed(open_.select("query_id", "question"), "question", embedder, "query_vector"), "question-vectors")
     near = retrieve.top_k_batch(index, vectors, k)
@@ -93,6 +89,12 @@ def evaluate_questions(questions: DataFrame, index: DataFrame, checkpoint_path:
     return spark.read.parquet(checkpoint_path)
 
 
+def runs_of(domains: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """Every ``domain`` of a table with every kind of source, each once; the few sources are exploded, nothing is joined."""
+    named = domains.where("domain IS NOT NULL").select("domain").distinct()
+    return named.select("domain", F.explode(F.array(*map(F.lit, sources))).alias("source"))
+
+
 def domain_runs(config: EngineConfig = DEFAULT) -> list[tuple[str, str]]:
     """Every domain with every kind of source."""
-    return [(domain, source) for domain in config.domains for source in ("arxiv", "epo_ops")]
+    return [(domain, source) for domain in config.domains for source in SOURCES]

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ferrosieve.config import DEFAULT
 from ferrosieve.functions import scalars as S
-from ferrosieve.operators import chunking, context, evaluate, index, layout, models, resume, retrieve
+from ferrosieve.operators import chunking, context, evaluate, index, layout, models, resume, retrieve, windows
 from ferrosieve.operators import standardize as std
 from ferrosieve.plans import pipeline
+from ferrosieve.sources import files
 from ferrosieve.sources.html import html_parts
 from ferrosieve.streaming.ingest import arrivals
-from ferrosieve.tables import spread, table
+from ferrosieve.tables import fresh_path, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +98,7 @@ def hits_with_text(spark, d):
 
 @query("SELECT row_id, id FROM doc_records ORDER BY ingested_at DESC, row_id LIMIT 5")
 def source_limit(spark, d):
-    return table(spark, d, "doc_records").orderBy(F.col("ingested_at").desc(), "row_id").limit(5).select("row_id", "id")
+    return files.newest(table(spark, d, "doc_records"), "ingested_at", "row_id", 5).select("row_id", "id")
 
 
 # joins and merges
@@ -113,9 +114,7 @@ def anti_join_ingested(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
 def batch_dedup_first(spark, d):
-    # grouped by a digest: the shuffle moves 32 bytes a row instead of the text
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("key"))
-    return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+    return resume.first_copies(table(spark, d, "documents"), "text", "doc_id")
 
 
 _BLANK = r"'^[\t-\r\x1c-\x20\x{85}\p{Z}]*$'"
@@ -131,8 +130,7 @@ def resume_pending(spark, d):
 
 @query("SELECT doc_id, count(*) AS audits FROM ingest_audit WHERE doc_id IN (SELECT id FROM doc_records) GROUP BY doc_id")
 def resume_semi(spark, d):
-    audits = table(spark, d, "ingest_audit")
-    return audits.join(table(spark, d, "doc_records").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("audits"))
+    return resume.known_only(table(spark, d, "ingest_audit"), table(spark, d, "doc_records"), "doc_id", "id").groupBy("doc_id").agg(F.count("*").alias("audits"))
 
 
 @query("""SELECT r.row_id, coalesce(a.num_chunks, -1)::INT AS num_chunks, a.full_text_chars IS NOT NULL AND a.num_chunks IS NOT NULL AS complete
@@ -163,13 +161,16 @@ def upsert_merge(spark, d):
     half = docs.agg(F.max("batch_no")).first()[0] // 2
     old = docs.where(F.col("batch_no") <= half).groupBy("id").agg(F.min("row_id").alias("row_id"))
     new = docs.where(F.col("batch_no") > half).groupBy("id").agg(F.max("row_id").alias("row_id"))
-    return index.merge(old, new)
+    ix = index.VectorIndex(spark, fresh_path(spark, "upsert"))
+    for batch in (old, new):
+        ix.upsert(batch.withColumn("parent_id", F.col("id")).withColumn("source", F.lit("x")))
+    return ix.read().select("id", "row_id")
 
 
 @query("SELECT source, id FROM doc_records WHERE source = 'arxiv' UNION ALL SELECT source, id FROM doc_records WHERE source IN ('patent', 'epo_ops')")
 def union_sources(spark, d):
     docs = table(spark, d, "doc_records").select("source", "id")
-    return docs.where("source = 'arxiv'").unionByName(docs.where(S.is_patent(F.col("source"))))
+    return files.all_sources(docs.where("source = 'arxiv'"), docs.where(S.is_patent(F.col("source"))))
 
 
 # groups and windows over hits
@@ -189,8 +190,7 @@ def group_count_parent(spark, d):
 
 @query(f"WITH {_HITS} SELECT query_id, string_agg(id, ',' ORDER BY hit_rank, id) AS ids FROM h GROUP BY query_id")
 def ordered_collect(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("hit_rank", "id")))
-    return _hits(spark, d).groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["id"]), ",").alias("ids"))
+    return windows.joined_in_order(_hits(spark, d), "query_id", ["hit_rank", "id"], "id", ",", "ids")
 
 
 @query("SELECT query_id, round(avg(similarity_distance) FILTER (NOT isnan(similarity_distance)), 9) + 0.0 AS mean_distance FROM retrieval_hits GROUP BY query_id")
@@ -237,14 +237,14 @@ def primary_context_cap(spark, d):
 
 @query(f"""WITH {_HITS} SELECT query_id, id, round(last_value(similarity_distance IGNORE NULLS) OVER (PARTITION BY query_id ORDER BY hit_rank, id ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS carried FROM h""")
 def carry_forward_header(spark, d):
-    order = Window.partitionBy("query_id").orderBy("hit_rank", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return _hits(spark, d).select("query_id", "id", _round(F.last("similarity_distance", ignorenulls=True).over(order)).alias("carried"))
+    rows = windows.carry_forward(_hits(spark, d), "query_id", ["hit_rank", "id"], "similarity_distance", "carried")
+    return rows.select("query_id", "id", _round(F.col("carried")).alias("carried"))
 
 
 @query(f"""WITH {_HITS} SELECT query_id, id, max(coalesce(metadata.source IN ('patent', 'epo_ops'), false)::INT) OVER (PARTITION BY query_id ORDER BY hit_rank, id ROWS UNBOUNDED PRECEDING) AS seen_patent FROM h""")
 def sticky_flag(spark, d):
-    order = Window.partitionBy("query_id").orderBy("hit_rank", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return _hits(spark, d).select("query_id", "id", F.max(F.coalesce(S.is_patent(F.col("metadata.source")), F.lit(False)).cast("int")).over(order).alias("seen_patent"))
+    rows = windows.stays_set(_hits(spark, d), "query_id", ["hit_rank", "id"], S.is_patent(F.col("metadata.source")), "seen_patent")
+    return rows.select("query_id", "id", "seen_patent")
 
 
 _BLOCKS = """b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS block_no,
@@ -280,11 +280,11 @@ def date_parse(spark, d):
     return o.select("o_orderkey", parsed.cast("string").alias("day"), S.long_date(parsed).alias("shown"))
 
 
-@query("""WITH c AS (SELECT DISTINCT unnest(patent_classifications) AS code FROM doc_records), s AS (SELECT code, split_part(code, ' ', 1) AS p, split_part(code, ' ', 2) AS g FROM c WHERE code IS NOT NULL AND length(split_part(code, ' ', 1)) = 4),
-f AS (SELECT code, left(p, 1) || translate(substr(p, 2, 2), 'OQDEILGBSAZ', '00061166542') || right(p, 1) AS p, g FROM s)
+@query("""WITH c AS (SELECT DISTINCT unnest(patent_classifications) AS code FROM doc_records), s AS (SELECT code, split_part(code, ' ', 1) AS p, split_part(code, ' ', 2) AS g FROM c WHERE code IS NOT NULL),
+f AS (SELECT code, CASE WHEN length(p) = 4 THEN left(p, 1) || translate(substr(p, 2, 2), 'OQDEILGBSAZ', '00061166542') || right(p, 1) ELSE p END AS p, g FROM s)
 SELECT code, CASE p WHEN 'G060' THEN 'G06Q' WHEN 'G06Y' THEN 'G06V' WHEN 'B25I' THEN 'B25J' ELSE p END || ' ' || g AS normal FROM f""")
 def ipc_normalise(spark, d):
-    codes = table(spark, d, "doc_records").select(F.explode("patent_classifications").alias("code")).distinct().where("code IS NOT NULL AND length(split_part(code, ' ', 1)) = 4")
+    codes = table(spark, d, "doc_records").select(F.explode("patent_classifications").alias("code")).distinct().where("code IS NOT NULL")
     return codes.select("code", S.normalise_ipc(F.split_part("code", F.lit(" "), F.lit(1)), F.split_part("code", F.lit(" "), F.lit(2))).alias("normal"))
 
 
@@ -303,7 +303,7 @@ def id_forms(spark, d):
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events")
 def json_path_default(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.try_variant_get(F.parse_json("props"), "$.k", "long"), F.lit(-1)).alias("k"))
+    return table(spark, d, "events").select("event_id", S.json_path(F.col("props"), "$.k", "long", -1).alias("k"))
 
 
 @query("""SELECT event_id, round(greatest(0.0, least(1.0, CASE WHEN value > 1 AND value <= 10 THEN value / 10 WHEN value > 10 THEN value / 100 ELSE value END)), 6) + 0.0 AS score,
@@ -333,8 +333,7 @@ def metadata_flatten(spark, d):
 
 @query("SELECT lower(n) AS key, count(DISTINCT n) AS spellings FROM (SELECT unnest(affiliated_institutions) AS n FROM doc_records) WHERE n IS NOT NULL GROUP BY 1")
 def distinct_ignoring_case(spark, d):
-    names = table(spark, d, "doc_records").select(F.explode("affiliated_institutions").alias("n")).where("n IS NOT NULL").distinct()
-    return names.groupBy(F.lower("n").alias("key")).agg(F.count("*").alias("spellings"))
+    return windows.spellings(table(spark, d, "doc_records").select(F.explode("affiliated_institutions").alias("n")), "n")
 
 
 @query("SELECT finding_id, len(list_filter(coalesce(sensor_types, []), lambda x: x IS NOT NULL AND x <> 'None' AND trim(x, ' ') <> ''))::INT AS sensors FROM perception_findings")
@@ -385,8 +384,7 @@ def report_rows(spark, d):
 
 @query("SELECT DISTINCT d.domain, s.source FROM (SELECT DISTINCT domain FROM ingest_audit WHERE domain IS NOT NULL) d, (VALUES ('arxiv'), ('epo_ops')) s(source)")
 def domain_cross(spark, d):
-    named = table(spark, d, "ingest_audit").where("domain IS NOT NULL").select("domain").distinct()  # six rows
-    return named.select("domain", F.explode(F.array(F.lit("arxiv"), F.lit("epo_ops"))).alias("source"))
+    return pipeline.runs_of(table(spark, d, "ingest_audit"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ingested_at) AS start, source, count(*) AS documents FROM doc_records WHERE ingested_at IS NOT NULL GROUP BY 1, 2")
@@ -397,20 +395,18 @@ def arrivals_by_day(spark, d):
 # texts: no SQL; tests hold them against fixtures
 
 
-def _first_records(spark, d):
-    docs = table(spark, d, "doc_records")
-    first = docs.groupBy("id").agg(F.min("row_id").alias("row_id"))
-    return spread(docs.join(first, ["id", "row_id"]), "id")
+def _records(spark, d):
+    return spread(table(spark, d, "doc_records"), "row_id")
 
 
 @query()
 def standard_documents(spark, d):
-    return std.standardize(_first_records(spark, d))
+    return std.standardize(_records(spark, d))
 
 
 @query()
 def chunk_documents(spark, d):
-    return chunking.chunk(std.standardize(_first_records(spark, d)))
+    return chunking.chunk(std.standardize(_records(spark, d)))
 
 
 @query()
@@ -425,12 +421,12 @@ def marked_headings(spark, d):
 
 @query()
 def bibliographic_data(spark, d):
-    return std.bibliographic(_first_records(spark, d).where(S.is_patent(F.col("source"))))
+    return std.bibliographic(_records(spark, d).where(S.is_patent(F.col("source"))))
 
 
 @query()
 def embedded_chunks(spark, d):
-    return pipeline.prepare(_first_records(spark, d))
+    return pipeline.prepare(_records(spark, d))
 
 
 @query()
@@ -440,10 +436,15 @@ def generated_answers(spark, d):
     return made.select("query_id", models.parse_extraction(F.col("answer")).getField("source_document_id").alias("doc"), "error")
 
 
-@query("SELECT row_id, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract FROM doc_records WHERE NOT regexp_matches(coalesce(title, '') || coalesce(abstract, ''), '[<>&]') AND NOT regexp_matches(lower(coalesce(abstract, '')), '^[^a-z]*abstract') ".replace("coalesce(title, '') AS title, coalesce(abstract, '') AS abstract", r"regexp_replace(coalesce(title, ''), '^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '', 'g') AS title, regexp_replace(coalesce(abstract, ''), '^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '', 'g') AS abstract"))
+_TRIM = r"regexp_replace({0}, '^[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+|[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+@query(f"""SELECT row_id, {_TRIM.format("coalesce(title, '')")} AS title, {_TRIM.format("coalesce(abstract, '')")} AS abstract FROM doc_records""")
 def html_text(spark, d):
-    docs = table(spark, d, "doc_records").select("row_id", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("abstract", F.lit("")).alias("a"))
-    docs = docs.where(~F.concat("t", "a").rlike("[<>&]") & ~F.lower("a").rlike("^[^a-z]*abstract"))
-    page = F.concat(F.lit("<html><head><title>"), "t", F.lit("</title></head><body><section itemprop='abstract'><p>"), "a", F.lit("</p></section></body></html>"))
-    parts = docs.select("row_id", html_parts(page).alias("p"))
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(
+        F.lit("<html><head><title>"), escaped(F.col("title")), F.lit("</title></head><body><section itemprop='abstract'><h2>Abstract</h2><p>"), escaped(F.col("abstract")),
+        F.lit("</p></section><script>var x = '<p>';</script></body></html>"),
+    )
+    parts = table(spark, d, "doc_records").select("row_id", html_parts(page).alias("p"))
     return parts.select("row_id", F.col("p.title").alias("title"), F.col("p.abstract").alias("abstract"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrosieve.functions.scalars import title_case
 from ferrosieve.schemas import CHECKPOINT, DOCUMENT, QUESTIONS
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
     return bool(found)
@@ -17,7 +18,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def title_of(stem: Column) -> Column:
     """A title out of a file name: underscores become spaces, every run of letters starts with a capital."""
-    return F.initcap(F.translate(stem, "_", " "))
+    return title_case(F.translate(stem, "_", " "))
 
 
 def local_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +28,7 @@ def local_documents(spark: SparkSession, folder: str) -> DataFrame:
     """
     parts = []
     for sub, source in (("papers", "arxiv"), ("patents", "patent")):
-        if not _exists(spark, f"{folder}/{sub}/*.pdf"):
+        if not exists(spark, f"{folder}/{sub}/*.pdf"):
             continue
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{folder}/{sub}").select("path")
         stem = F.regexp_extract("path", r"([^/]+)\.pdf$", 1)
@@ -42,7 +43,7 @@ def local_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = QUESTIONS, required: tuple[str, ...] = ("question", "ground_truth")) -> DataFrame:
     """A CSV with a header; required columns must be there, others follow the schema by name."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     missing = [c for c in required if c not in raw.columns]
@@ -53,8 +54,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = QUESTIONS, r
 
 def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType = CHECKPOINT) -> DataFrame:
     """A checkpoint as JSON array, JSON lines or Parquet folder; an empty table where there is none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     if path.endswith(".json"):
         return spark.read.schema(schema).json(path, multiLine=True)
     return spark.read.schema(schema).json(path) if path.endswith(".jsonl") else spark.read.schema(schema).parquet(path)
+
+
+def newest(docs: DataFrame, time_col: str, id_col: str, n: int) -> DataFrame:
+    """The ``n`` newest documents, as a service answers a limited request; ties go by id. Spark keeps n rows a task."""
+    return docs.orderBy(F.col(time_col).desc(), id_col).limit(n)
+
+
+def all_sources(*tables: DataFrame) -> DataFrame:
+    """Documents of several sources in one table, by column name; what one lacks is null."""
+    first, *rest = tables
+    for t in rest:
+        first = first.unionByName(t, allowMissingColumns=True)
+    return first

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _LEAF = "struct<`$`:string>"
 
+from ferrosieve.functions.scalars import title_cases
+
 
 def _node(v: Column, path: str, kind: str) -> Column:
     """The node at a path as a list of ``kind``, whether it is an object, a list or absent."""
@@ -58,7 +60,7 @@ def parse_biblio(records: DataFrame, json_col: str = "json") -> DataFrame:
     label = F.when(F.upper(part("kind", "A1")).startswith("B"), "Grant Date").otherwise("Publication Date")
     dates = F.concat(label, F.lit(": "), date, F.coalesce(F.concat(F.lit(" (Priority Date: "), first_prio, F.lit(")")), F.lit("")))
     filled = lambda c: F.when(F.size(c) > 0, c)
-    people = F.transform(names(F.col("inventors"), "inventor-name"), lambda x: F.initcap(x))
+    people = title_cases(names(F.col("inventors"), "inventor-name"))
     return raw.select(
         F.lit("epo_ops").alias("source"), number.alias("id"), F.coalesce(_leaf(english(F.col("titles"))), F.lit("Untitled Patent")).alias("title"),
         F.coalesce(filled(people), F.array(F.lit("Unknown Inventor"))).alias("authors"), F.coalesce(text, F.lit("No abstract available.")).alias("abstract"),

@@ -20,8 +20,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_texts(docs: DataFrame, path: str) -> None:
-    """Standardized texts, a folder per document."""
-    docs.select(safe_id(F.col("id")).alias("id"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("id").text(path)
+    """Standardized texts as rows (id, text), a file a task: folders of one document each do not scale."""
+    docs.select(safe_id(F.col("id")).alias("id"), "text").write.mode("overwrite").parquet(path)
 
 
 def pretty_json(*columns: str) -> Column:
@@ -34,3 +34,8 @@ def markdown_report(title: str, lines: DataFrame, header: str, order: str) -> st
     body = [r.line for r in lines.orderBy(order).limit(1000).collect()]
     rule = "|" + " --- |" * (header.count("|") - 1)
     return "\n".join([f"# {title}", "", header, rule, *body, ""])
+
+
+def write_bytes(files: DataFrame, path: str) -> None:
+    """Fetched files as rows (id, content)."""
+    files.select(safe_id(F.col("id")).alias("id"), F.col("content").cast("binary")).write.mode("append").parquet(path)

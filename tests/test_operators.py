@@ -85,6 +85,33 @@ def test_index_upserts_and_resets(spark, tmp_path):
     assert ix.count() == 0
 
 
+def test_index_survives_a_crash_and_rewrites_touched_buckets_only(spark, tmp_path, monkeypatch):
+    make = lambda rows: spark.createDataFrame([(i, p, t, "arxiv") for i, p, t in rows], "id string, parent_id string, text string, source string")
+    ix = VectorIndex(spark, f"file://{tmp_path}/ix", buckets=8)
+    ix.upsert(make([(f"d{i}_chunk_0", f"d{i}", "old") for i in range(40)]))
+    before = ix._state()[1]["owner"]
+    monkeypatch.setattr(type(ix.versions), "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ix.upsert(make([("d0_chunk_0", "d0", "new")]))
+    monkeypatch.undo()
+    assert ix.count() == 40 and ix.read().where("text = 'new'").count() == 0
+    ix.upsert(make([("d0_chunk_0", "d0", "new")]))
+    after = VectorIndex(spark, f"file://{tmp_path}/ix")._state()[1]["owner"]
+    assert sum(before[b] != after[b] for b in before) == 1 and ix.count() == 40 and ix.read().where("text = 'new'").count() == 1
+
+
+def test_last_score_wins(spark):
+    gen = spark.createDataFrame([("x",), ("y",)], "k string")
+    scores = spark.createDataFrame([("x", 1.0, None, 1), ("x", None, 0.5, 2), ("y", 0.9, None, 1), ("y", 0.2, None, 2)], "k string, a double, b double, t int")
+    done, left = resume.scored_and_open(gen, scores, "k", "a", "b", "t")
+    assert [(r.k, r.a, r.b) for r in done.collect()] == [("x", 1.0, 0.5)] and [(r.k, r.a) for r in left.collect()] == [("y", 0.2)]
+
+
+def test_title_case(spark):
+    df = spark.createDataFrame([("jean-pierre O'NEIL 3d",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.title_case(F.col("t"))).collect()] == ["Jean-Pierre O'Neil 3D", "", None]
+
+
 def test_metadata_is_sanitized(spark):
     df = spark.sql("SELECT struct(cast(null AS string) AS a, array('x', 'y') AS b, 3 AS c) AS m")
     assert df.select(sanitized("m", df.schema["m"].dataType).alias("m")).first().m == ("", '["x","y"]', 3)
@@ -182,7 +209,9 @@ def test_service_source(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a/b", "text", None)], "id string, text string, n int")
     sinks.write_texts(df, str(tmp_path / "t"))
-    assert (tmp_path / "t" / "id=a_b").exists()
+    assert tuple(spark.read.parquet(str(tmp_path / "t")).first()) == ("a_b", "text")
+    sinks.write_bytes(spark.createDataFrame([("x/y", bytearray(b"%PDF"))], "id string, content binary"), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).first().content == b"%PDF"
     sinks.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().id == "a/b"
     assert '"n" : null' in df.select(sinks.pretty_json("id", "n").alias("j")).first().j

@@ -184,8 +184,8 @@ def drift(rng, words, n):
     return [w if rng.random() > n else f"new{rng.randrange(999)}" for w in words]
 
 
-@pytest.mark.parametrize("hot,batch,one_task", [(1000, 70, 1000), (1000, 70, 0), (2, 70, 1000), (3, 20, 1000)])
-def test_history_by_brute_force(spark, hot, batch, one_task):
+@pytest.mark.parametrize("hot,batch,one_task,prints", [(1000, 70, 1000, 10**6), (1000, 20, 1000, 10**6), (1000, 25, 1000, 0), (1000, 70, 0, 0), (2, 70, 1000, 10**6), (3, 20, 1000, 0)])
+def test_history_by_brute_force(spark, hot, batch, one_task, prints):
     rng = random.Random(hot)
     bases = [[f"w{rng.randrange(3000)}" for _ in range(160)] for _ in range(5)]
     rows = []
@@ -193,7 +193,7 @@ def test_history_by_brute_force(spark, hot, batch, one_task):
         base = bases[0] if i % 3 == 0 else rng.choice(bases)
         words = base if rng.random() < 0.3 else drift(rng, base, rng.choice([0.03, 0.08, 0.12]))
         rows.append({"row_id": i + 1, "batch_no": i // batch, "id": rng.choice([None, f"id{rng.randrange(60)}"]), "full_text": rng.choice([" ".join(words), " ".join(words), None])})
-    rule = p4_history.Rule(hot=hot, one_task=one_task, least_coverage=0.02, dropped=0.02, boundary=16, least_bytes=8, window=4)
+    rule = p4_history.Rule(hot=hot, one_task=one_task, one_task_prints=prints, least_coverage=0.02, dropped=0.02, boundary=16, least_bytes=8, window=4)
     got = {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule, least_rows=1).collect()}
     assert got == plain_history(rows)
 

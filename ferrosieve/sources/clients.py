@@ -82,6 +82,14 @@ class PatentOfficeClient:
         return [json.dumps(x) for x in found]
 
 
+class PatentService(PatentOfficeClient):
+    """The same behind ``DocumentService``: each record as a row with its JSON in ``full_text``, for ``parse_biblio`` to read."""
+
+    def search(self, query: str, limit: int) -> Iterator[dict]:
+        for text in self.records(query, limit):
+            yield {"source": "epo_ops", "full_text": text}
+
+
 def patent_page(number: str, base: str, transport: Transport = http) -> tuple[str, str]:
     """(abstract, full text) of a patent's page; empty where there is none."""
     try:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
-from ferrosieve.functions.scalars import title_case
+from ferrosieve.functions.headings import mark_headings
+from ferrosieve.functions.scalars import normalise_ligatures, title_case
 from ferrosieve.schemas import CHECKPOINT, DOCUMENT, QUESTIONS
+from ferrosieve.sources.pdf import text_of
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -16,23 +20,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def mark_pages(text: Column) -> Column:
+    """Text of pages with its ligatures spelled out and its headings marked."""
+    marked = F.arrow_udf(lambda c: pa.array([mark_headings(x) for x in c.to_pylist()], pa.string()), "string", ArrowUDFType.SCALAR)
+    return marked(normalise_ligatures(text))
+
+
 def title_of(stem: Column) -> Column:
     """A title out of a file name: underscores become spaces, every run of letters starts with a capital."""
     return title_case(F.translate(stem, "_", " "))
 
 
 def local_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """PDF files of ``papers`` and ``patents`` below a folder as documents with their placeholders.
-
-    Contents are not read here: only paths are listed.
-    """
+    """PDF files of ``papers`` and ``patents`` below a folder as documents with their placeholders and, where it can be read, their text."""
     parts = []
     for sub, source in (("papers", "arxiv"), ("patents", "patent")):
         if not exists(spark, f"{folder}/{sub}/*.pdf"):
             continue
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{folder}/{sub}").select("path")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{folder}/{sub}").select("path", text_of(F.col("content")).alias("full_text"))
         stem = F.regexp_extract("path", r"([^/]+)\.pdf$", 1)
-        parts.append(files.select(F.lit(source).alias("source"), stem.alias("id"), title_of(stem).alias("title"), F.col("path").alias("local_path")))
+        parts.append(files.select(F.lit(source).alias("source"), stem.alias("id"), title_of(stem).alias("title"), F.col("path").alias("local_path"), mark_pages(F.col("full_text")).alias("full_text")))
     if not parts:
         return spark.createDataFrame([], DOCUMENT)
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrosieve.llm.loads import consecutive
 from ferrosieve.store import Run, Versions, read_runs, touched_buckets, write_run
 from ferrosieve.tables import fresh_path, measured, settle
 
@@ -104,12 +105,15 @@ def keyed_records(df: DataFrame, fields: tuple[str, ...] = ("title", "abstract")
     return settle(df.select(F.col(id_col).alias("row_id"), F.col(batch_col).alias("batch_no"), key(*[F.col(f) for f in fields]).alias("key")), "p2-keys")
 
 
-def build(keyed: DataFrame, folder: str | None = None, bucket_rows: int = 1_000_000) -> Ledger:
-    """The ledger after all batches, each added in its turn. Without a ``folder`` it is kept until the driver ends."""
+def build(keyed: DataFrame, folder: str | None = None, bucket_rows: int = 1_000_000, least_rows: int = 1000) -> Ledger:
+    """The ledger after all batches, each added in its turn (neighbours of fewer than ``least_rows`` rows together as one).
+
+    Without a ``folder`` it is kept until the driver ends.
+    """
     spark = keyed.sparkSession
     ledger = Ledger.open(spark, folder or fresh_path(spark, "p2-ledger"), bucket_rows=bucket_rows)
-    for b in sorted(r[0] for r in keyed.select("batch_no").distinct().collect()):
-        ledger.update(keyed.where(F.col("batch_no") == b).select("row_id", "key"))
+    for first, last in consecutive(keyed, "batch_no", least_rows):
+        ledger.update(keyed.where(F.col("batch_no").between(first, last)).select("row_id", "key"))
     return ledger
 
 

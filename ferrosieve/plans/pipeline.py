@@ -14,7 +14,8 @@ from ferrosieve.operators import context, models, resume, retrieve
 from ferrosieve.operators.chunking import chunk
 from ferrosieve.operators.index import VectorIndex
 from ferrosieve.operators.standardize import standardize
-from ferrosieve.sources.files import exists, read_checkpoint
+from ferrosieve.sources.files import all_sources, exists, read_checkpoint
+from ferrosieve.sources.service import DocumentService
 from ferrosieve.sources.sinks import append_rows
 from ferrosieve.tables import settle
 
@@ -53,6 +54,26 @@ def ingest(fetched: DataFrame, index: VectorIndex, raw_path: str, order: str, co
     return out
 
 
+def fetch(spark: SparkSession, query: str, limit: int, **options: str) -> DataFrame:
+    """Documents that a service gives for a query, through the registered data source."""
+    spark.dataSource.register(DocumentService)
+    return spark.read.format("document_service").options(**options).option("query", query).option("limit", str(limit)).load()
+
+
+def ingest_domains(spark: SparkSession, index: VectorIndex, raw_path: str, build: Callable[[list[str]], str], limit: int, config: EngineConfig = DEFAULT, embedder: Callable[[], models.Embedder] = models.HashEmbedder, **options: str) -> dict[str, int]:
+    """Up to ``limit`` documents of each domain into the index; a document of several domains counts for the first. Figures of the run.
+
+    The domains are few and fixed, so their requests are one union and everything after it one plan.
+    """
+    parts = [fetch(spark, build([domain]), limit, **options).withColumn("_domain", F.lit(i)) for i, domain in enumerate(config.domains)]
+    fetched = settle(all_sources(*parts), "fetched")
+    numbered = fetched.withColumn("_order", F.struct("_domain", "id").cast("string"))
+    once = numbered.groupBy("id").agg(F.min("_order").alias("_order"))
+    documents = settle(numbered.join(once, ["id", "_order"]).dropDuplicates(["id"]).drop("_domain"), "domains")
+    found, chunks = ingest(documents, index, raw_path, "_order", config, embedder)
+    return {"fetched": fetched.count(), "documents": found, "chunks": chunks}
+
+
 def reload(docs: DataFrame, index: VectorIndex, config: EngineConfig = DEFAULT) -> int:
     """A local folder's documents in place of what the index holds."""
     index.reset()

@@ -7,6 +7,7 @@ from ferrosieve.functions import scalars as S
 from ferrosieve.operators import context, evaluate, models, resume, retrieve
 from ferrosieve.operators.chunking import chunk, chunk_listing
 from ferrosieve.operators.index import VectorIndex, sanitized
+from ferrosieve.sources.queries import paper_query
 from ferrosieve.operators.layout import page_text
 from ferrosieve.operators.select_first import first_unseen
 from ferrosieve.operators.standardize import standardize
@@ -239,3 +240,14 @@ def test_streaming(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/doc_records.parquet").write.mode("overwrite").parquet(f"{tmp_path}/in")
     stream_ingest(document_stream(spark, f"{tmp_path}/in", schema), ix, f"{tmp_path}/cp").awaitTermination()
     assert ix.count() > 0
+
+
+def test_domains_are_ingested_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"source": "arxiv", "id": f"p{i}", "title": f"Radar {i}", "published_date": f"2024-01-0{i}", "abstract": "A radar in rain and snow for many drives, tested at length."} for i in range(1, 6)]
+    (tmp_path / "in" / "d.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    ix = VectorIndex(spark, f"file://{tmp_path}/ix")
+    run = lambda n: pipeline.ingest_domains(spark, ix, f"{tmp_path}/raw", paper_query, n, path=str(tmp_path / "in"))
+    first = run(3)
+    assert first["fetched"] == 18 and first["documents"] == 3 and first["chunks"] == ix.count() == 3
+    assert run(3)["chunks"] == 0 and run(5)["chunks"] == 2 and ix.count() == 5

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
+from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p4_sweep, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
 from ferrosieve.tables import table
 
 from ..oracle import assert_same, connect
@@ -250,6 +250,29 @@ def test_history_of_test_table(spark, sf_dir):
     assert {tuple(r) for r in queries.QUERIES["p4_found"](spark, sf_dir).collect()} == plain_history(rows)
 
 
+@pytest.mark.parametrize("batch,one_task", [(50, 1000), (2, 1000), (50, 0)])
+def test_history_finds_texts_without_a_common_chunk(spark, batch, one_task):
+    """Three words of five are the same, in turn with others, so that no run of three words is shared; also passages that most records hold."""
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(300)]
+    mixed = lambda k, of: " ".join(w if i % 5 in of else f"own{k}x{i}" for i, w in enumerate(base))
+    common = " ".join(f"common{i}" for i in range(120))
+    texts = [mixed(1, (0, 2, 4)), mixed(2, (0, 2, 4)), mixed(3, (0, 2)), *(f"{common} {' '.join(f'o{k}x{i}' for i in range(n))}" for k, n in ((4, 90), (5, 95), (6, 90), (7, 105))), " ".join(reversed(base)), " ".join(base[:200])]
+    rows = [{"row_id": i + 1, "batch_no": i // batch, "full_text": t} for i, t in enumerate(texts)]
+    want = plain_history(rows)
+    assert want == {(1, 2), (4, 5), (4, 6)}
+    rule = p4_history.Rule(one_task=one_task)
+    assert {tuple(r) for r in p4_history.found(records(spark, rows), rule=rule, least_rows=1).collect()} == want
+
+
+def test_sweep_by_brute_force():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefghij" if i % 2 else "abcde") for _ in range(rng.randrange(0, 60))) for i in range(120)]
+    sweep = p4_sweep.Sweep(p4_sweep.Piece.of(list(range(60, 120)), texts[60:]), 0.55).ready()
+    want = {(x, w) for x in range(60, 120) for w in range(x) if p4_history.similar(texts[w], texts[x], 0.55)}
+    assert set(sweep.similar(list(range(120)), texts)) == want and 20 < len(want) < 5000
+
+
 def test_common_words():
     assert p4_history.common_words("a b c d".split(), "b x c a d".split()) == 3 and p4_history.common_words([], ["a"]) == 0
 

@@ -7,8 +7,8 @@ occur in the corpus. It is trained on words of the corpus that are corrupted and
 page numbers are removed by their position on the pages (``p1_furniture``).
 
 The word frequencies are counted over all texts and kept as their base-two logarithm in a hash table that is sized to the words and
-tells them apart by 64 bits; it is all that is broadcast besides the weights of the editor. Its size (``MOST_WORDS``) and the training
-sample (``TRAINING_WORDS``) are bounded.
+tells them apart by 64 bits; it is all that is broadcast besides the weights of the editor. Above ``MOST_WORDS`` it is parted by the hash and
+sent as a file that the workers map into memory instead, with every word in it. Only the training sample (``TRAINING_WORDS``) is bounded.
 After that the pass over the texts is narrow. Words are judged once per worker and remembered.
 
 Defined results: null and empty texts have no noise and come out as they are; texts without noise come out
@@ -17,25 +17,30 @@ unchanged; words that the corpus does not explain are kept.
 
 from __future__ import annotations
 
+import atexit
 import random
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrosieve.llm.p1_furniture import Furniture, find_furniture
 from ferrosieve.llm.perceptron import AveragedPerceptron
-from ferrosieve.tables import settle
+from ferrosieve.tables import fresh_path, measured
 
 #: Words from which the editor is trained, taken in order of a hash.
 TRAINING_WORDS = 2000
-#: Words of the frequency table; it is sized to the words that at least two texts have, nine bytes for each of at most four places a word.
-#: Only a corpus with more such words than this leaves out the rarest levels.
+#: Words of the frequency table that are broadcast and built at once; it is sized to the words that at least two texts have, nine bytes for
+#: each of at most four places a word. A corpus with more such words has its table in parts of this size, in a file.
 MOST_WORDS = 8_000_000
 
 # What scanners read for what stands there, as "read true".
@@ -107,62 +112,110 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+Table = tuple[np.ndarray, np.ndarray]
+
+
 class Lexicon:
     """Levels of words: 0 for words of fewer than two texts, else 1 + log2 of their number of texts.
 
-    ``keys`` and ``levels`` are a hash table with open addressing; words are told apart by 64 bits, none is left out.
+    Each of ``tables`` (keys, levels) is a hash table with open addressing; words are told apart by 64 bits, none is left out. With several, high
+    bits of the hash choose one; they lie in ``file`` then, a file of the Spark application, with ``sizes`` places each.
     """
 
-    def __init__(self, keys: np.ndarray, levels: np.ndarray, texts: int):
-        self.keys, self.levels, self.texts, self.mask = keys, levels, texts, len(keys) - 1
+    def __init__(self, tables: list[Table], texts: int, file: str | None = None):
+        self.tables, self.texts, self.file, self.sizes = tables, texts, file, [len(keys) for keys, _ in tables]
         self.known = max(2, int(np.log2(max(3.0, 0.003 * texts))) + 1)
         #: Words up to this level are rare beside the most frequent one, whatever the size of the corpus.
-        self.rare = max(0, int(levels.max(initial=0)) - 5)
+        self.rare = max(0, max(int(levels.max(initial=0)) for _, levels in tables) - 5)
 
     @staticmethod
     def build(hashes: np.ndarray, levels: np.ndarray, texts: int) -> Lexicon:
-        size = 1 << max(4, int(2 * len(hashes)).bit_length())
-        keys, out = np.zeros(size, np.uint64), np.zeros(size, np.uint8)
-        at, left = (hashes & np.uint64(size - 1)).astype(np.int64), np.arange(len(hashes))
-        while len(left):
-            free = out[at] == 0
-            _, first = np.unique(at[free], return_index=True)
-            chosen = np.flatnonzero(free)[first]
-            keys[at[chosen]], out[at[chosen]] = hashes[left[chosen]], levels[left[chosen]]
-            rest = np.ones(len(left), bool)
-            rest[chosen] = False
-            left, at = left[rest], (at[rest] + 1) & (size - 1)
-        return Lexicon(keys, out, texts)
+        return Lexicon([_hash_table(hashes, levels)], texts)
+
+    @staticmethod
+    def mapped(file: str, sizes: list[int], texts: int) -> Lexicon:
+        """The tables of a file of the application: the keys of each, then its levels."""
+        data, tables, at = np.memmap(SparkFiles.get(file), np.uint8, "r"), [], 0
+        for n in sizes:
+            tables.append((data[at : at + 8 * n].view(np.uint64), data[at + 8 * n : at + 9 * n]))
+            at += 9 * n
+        return Lexicon(tables, texts, file)
 
     def level(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        at = h & self.mask
-        while level := self.levels[at]:
-            if self.keys[at] == h:
+        keys, levels = self.tables[0] if self.file is None else self.tables[_part(h, len(self.tables))]
+        mask = len(keys) - 1
+        at = h & mask
+        while level := levels[at]:
+            if keys[at] == h:
                 return int(level)
-            at = (at + 1) & self.mask
+            at = (at + 1) & mask
         return 0
 
 
+def _part(h: int, parts: int) -> int:
+    return (h >> 40) % parts
+
+
+def _hash_table(hashes: np.ndarray, levels: np.ndarray) -> Table:
+    size = 1 << max(4, int(2 * len(hashes)).bit_length())
+    keys, out = np.zeros(size, np.uint64), np.zeros(size, np.uint8)
+    at, left = (hashes & np.uint64(size - 1)).astype(np.int64), np.arange(len(hashes))
+    while len(left):
+        free = out[at] == 0
+        _, first = np.unique(at[free], return_index=True)
+        chosen = np.flatnonzero(free)[first]
+        keys[at[chosen]], out[at[chosen]] = hashes[left[chosen]], levels[left[chosen]]
+        rest = np.ones(len(left), bool)
+        rest[chosen] = False
+        left, at = left[rest], (at[rest] + 1) & (size - 1)
+    return keys, out
+
+
 def build_lexicon(df: DataFrame, text_col: str, training_words: int = TRAINING_WORDS, most_words: int = MOST_WORDS) -> tuple[Lexicon, list[str]]:
     """The frequency table of all texts, and a bounded sample of frequent words."""
     level = F.least(F.floor(F.log2("n")) + 1, F.lit(60)).cast("byte").alias("level")
-    counts = settle(count_words(df, text_col).where("n >= 2").select("word", level), "p1-words")
-    by_level = {r.level: r.n for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a level
+    counts, figures = measured(count_words(df, text_col).where("n >= 2").select("word", level), "p1-words")
     texts = df.where(F.length(text_col) > 0).count()
+    parts = max(1, -(-figures["rows"] // most_words))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), b.column(1)], names=["h", "level"])
-
-    least = next(v for v in range(2, 62) if sum(n for x, n in by_level.items() if x >= v) <= most_words)
-    held = counts.where(F.col("level") >= least).mapInArrow(place, "h long, level byte").toArrow()  # at most most_words rows of 9 bytes
-    lexicon = Lexicon.build(held.column("h").to_numpy().astype(np.int64).view(np.uint64), held.column("level").to_numpy().astype(np.uint8), texts)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()], dtype=np.uint64)
+            part = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(hashes.view(np.int64), pa.int64()), b.column(1)], names=["part", "h", "level"])
+
+    placed = counts.mapInArrow(place, "part int, h long, level byte")
+    if parts == 1:
+        lexicon = Lexicon([_held(placed)], texts)
+    else:
+        path = fresh_path(df.sparkSession, "p1-places")
+        placed.write.partitionBy("part").parquet(path)
+        placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+        lexicon = _in_file(df, (_held(placed.where(F.col("part") == i)) for i in range(parts)), texts)
     frequent = counts.where(F.col("level") >= lexicon.known).orderBy(F.xxhash64("word"), "word").limit(training_words)
     return lexicon, [r.word for r in frequent.select("word").collect()]
 
 
+def _held(placed: DataFrame) -> Table:
+    held = placed.select("h", "level").toArrow()  # about MOST_WORDS rows of 9 bytes at most
+    return _hash_table(held.column("h").to_numpy().astype(np.int64).view(np.uint64), held.column("level").to_numpy().astype(np.uint8))
+
+
+def _in_file(df: DataFrame, tables: Iterator[Table], texts: int) -> Lexicon:
+    """Write the tables one after the other, so the driver holds one of them, and let Spark bring the file to every executor."""
+    folder = tempfile.mkdtemp(prefix="ferrosieve-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name, sizes = f"p1-lexicon-{uuid.uuid4().hex}", []
+    with open(f"{folder}/{name}", "wb") as f:
+        for keys, levels in tables:
+            f.write(keys.tobytes())
+            f.write(levels.tobytes())
+            sizes.append(len(keys))
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    return Lexicon.mapped(name, sizes, texts)
+
+
 def _operation(read: str, true: str) -> str:
     return "replace" if len(read) == len(true) else "delete" if len(read) > len(true) else "insert"
 
@@ -415,8 +468,8 @@ def repair(text: str | None, editor: Editor) -> str | None:
     return _TOKEN.sub(lambda m: editor.correct(m.group()) or m.group(), "\n\n".join(paragraphs))
 
 
-def fit(df: DataFrame, text_col: str = "full_text", training_words: int = TRAINING_WORDS) -> Editor:
-    lexicon, sample = build_lexicon(df, text_col, training_words)
+def fit(df: DataFrame, text_col: str = "full_text", training_words: int = TRAINING_WORDS, most_words: int = MOST_WORDS) -> Editor:
+    lexicon, sample = build_lexicon(df, text_col, training_words, most_words)
     return Editor(lexicon).train(sample)
 
 
@@ -427,22 +480,23 @@ def _worker_editor(shared: object, name: str) -> Editor:
     """The editor of this worker process; what it has judged is kept from task to task."""
     if name not in _WORKER:
         _WORKER.clear()
-        keys, levels, texts, labels, weights = shared.value
+        tables, file, sizes, texts, labels, weights = shared.value
         model = AveragedPerceptron(labels)
         model.weights = weights
-        _WORKER[name] = Editor(Lexicon(keys, levels, texts), model)
+        _WORKER[name] = Editor(Lexicon(tables, texts) if file is None else Lexicon.mapped(file, sizes, texts), model)
     return _WORKER[name]
 
 
 def _shared(df: DataFrame, editor: Editor) -> tuple[object, str]:
     lexicon = editor.lexicon
-    value = (lexicon.keys, lexicon.levels, lexicon.texts, editor.model.labels, editor.model.weights)
-    return df.sparkSession.sparkContext.broadcast(value), xxhash.xxh64_hexdigest(lexicon.keys.tobytes())
+    tables = lexicon.tables if lexicon.file is None else None
+    value = (tables, lexicon.file, lexicon.sizes, lexicon.texts, editor.model.labels, editor.model.weights)
+    return df.sparkSession.sparkContext.broadcast(value), lexicon.file or xxhash.xxh64_hexdigest(lexicon.tables[0][0].tobytes())
 
 
-def found(df: DataFrame, id_col: str = "row_id", text_col: str = "full_text") -> DataFrame:
+def found(df: DataFrame, id_col: str = "row_id", text_col: str = "full_text", most_words: int = MOST_WORDS) -> DataFrame:
     """``row_id`` and ``noise_kind``: one row per text and kind of noise."""
-    shared, name = _shared(df, fit(df, text_col))
+    shared, name = _shared(df, fit(df, text_col, most_words=most_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         editor = _worker_editor(shared, name)

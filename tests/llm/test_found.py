@@ -86,6 +86,19 @@ def test_lexicon_keeps_every_word():
     assert all(lexicon.level(w) == 3 for w in words) and lexicon.level("other") == 0
 
 
+def test_lexicon_in_parts_keeps_rare_words(spark):
+    texts = corpus(40)
+    bad = [texts[1].replace("vehicle", "vchicle"), texts[3].replace("estimation", "cstimatlon"), texts[2]]
+    df = records(spark, [{"row_id": i, "full_text": t} for i, t in enumerate([*texts, *bad])])
+    whole, sample = p1_repair.build_lexicon(df, "full_text")
+    parted, same = p1_repair.build_lexicon(df, "full_text", most_words=5)
+    words = sorted(set().union(*map(p1_repair.words_of, [*texts, *bad])))
+    assert len(parted.tables) > 3 and same == sample and parted.rare == whole.rare and whole.rare > 0
+    assert {w: parted.level(w) for w in words} == {w: whole.level(w) for w in words}
+    got = {(r.row_id, r.noise_kind) for r in p1_repair.found(df, most_words=5).collect()}
+    assert got == {(40, "misrecognition"), (41, "misrecognition")}
+
+
 def test_noise_does_not_depend_on_the_size_of_the_corpus(spark):
     texts = corpus(40)
     bad = [texts[1].replace("vehicle", "vchicle"), texts[3].replace("estimation", "cstimatlon"), texts[2]]

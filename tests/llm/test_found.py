@@ -503,3 +503,12 @@ def test_replicated_phrases_decide(spark):
     assert 0.5 < p10_stuffing.evidence(df).first().list_share < 0.7
     assert {r.doc_id for r in p10_stuffing.found(df).collect()} == {1, 2}
     assert p10_stuffing.found(df, replication=False).count() == 0
+
+
+def test_shingles_of_the_whole_page(spark):
+    """Prose counts too, phrases within long items are met wherever they stand, and a host does not replicate itself."""
+    part = "the radar sees more than the camera does in the rain"
+    rows = [(1, f"On {part} of last winter.", "a"), (2, f"We heard that {part}.", "b"), (3, "A lidar was bought by nobody at all here.", "a"), (4, "A lidar was bought by nobody at all here.", "a"), (5, None, "b")]
+    seen = {r.doc_id: r for r in p10_stuffing.evidence(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert 0.4 < seen[1].stitched < 0.8 and 0.5 < seen[2].stitched < 0.9 and seen[3].stitched == seen[4].stitched == seen[5].stitched == 0.0
+    assert all(r.replicated == r.list_share == 0.0 for r in seen.values())

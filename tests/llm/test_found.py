@@ -1,14 +1,15 @@
 """The pN queries against SQL where SQL can express them, else against plain versions on small tables."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p4_sweep, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
-from ferrosieve.tables import table
+from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p4_kernel, p4_sweep, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
+from ferrosieve.tables import drop, settle, table
 
 from ..oracle import assert_same, connect
 
@@ -286,6 +287,24 @@ def test_sweep_by_brute_force():
     assert set(sweep.similar(list(range(120)), texts)) == want and 20 < len(want) < 5000
 
 
+@pytest.mark.parametrize("piece", [1000, 25])
+def test_sweep_on_the_jvm(spark, monkeypatch, piece):
+    """The compiled sweep gives what the plain one gives, also by several pieces, of short texts and of long ones with common and rare words."""
+    monkeypatch.setattr(p4_sweep, "PIECE", piece)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij" if i % 2 else "abcdé") for _ in range(rng.randrange(0, 60))) for i in range(80)]
+    bases = [[f"w{int(rng.paretovariate(0.7))}" for _ in range(400)] for _ in range(3)]
+    texts += [" ".join(drift(rng, bases[i % 3], rng.choice([0.1, 0.3, 0.44, 0.46, 0.6]))) for i in range(40)]
+    rng.shuffle(texts)
+    both = settle(p4_kernel.words(spark.createDataFrame(list(enumerate([*texts, None])), "cls long, text string")), "words")
+    own = both.where("cls >= 60")
+    got = p4_sweep.swept(own, own.count(), both.where("cls < 60"), 0.55).collect()
+    want = {(x, w) for x in range(60, 120) for w in range(x) if p4_history.similar(texts[w], texts[x], 0.55)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
+    drop(both)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in both.inputFiles())
+
+
 def test_common_words():
     assert p4_history.common_words("a b c d".split(), "b x c a d".split()) == 3 and p4_history.common_words([], ["a"]) == 0
 

@@ -16,8 +16,10 @@ wholly, the rest of list material with ``own_weight``. A page is flagged when th
 Replicated prose is shown (``stitched``) but speaks against no page: sentences of papers and patents are replicated across hosts far more
 than spam is (figures in the README).
 
-The text pass is row-local. Items recur much more than once, so what is shuffled are keys of items; the shingles of an item are sent once
-a task, and a host is told from others by the smallest and the largest one.
+The text passes are row-local, and a host is told from others by the smallest and the largest one. ``found`` asks only for the shingles that
+list material has: one pass on the JVM (``p10_kernel``) keeps the items of list material, a second one reads all text again and gives those
+shingles wherever they stand. ``evidence`` shows all text, in Python; items recur much more than once, so there keys of items are shuffled,
+and the shingles of an item are sent once a task.
 
 Defined results: null, empty, blank and very short texts (under ``least_chars`` characters of words) are never
 flagged; pages without list material have replication 0; a null host is a host of its own.
@@ -33,9 +35,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrosieve.llm.p10_kernel import asked_file, listing
+from ferrosieve.llm.p10_kernel import shingles as page_shingles
 from ferrosieve.tables import measured, settle
 
 #: Items of at most so many words are short; so many short ones in a row are a list.
@@ -47,7 +51,7 @@ PART, PART_LONG, PAGE_PART, LONG_ITEM = 0.2, 0.025, 0.02, 40
 STUFFED, STUFFED_LONG = 0.3, 0.45
 #: Words of a phrase shingle; items of which a task remembers that their shingles are sent (more are sent again).
 WIDTH, REMEMBERED = 5, 1_000_000
-#: At most so many keys of items or shingles (8 bytes each) are broadcast.
+#: At most so many keys of items (16 bytes each) are broadcast.
 BROADCAST_KEYS = 1_000_000
 #: Odd factors of the words of a shingle by their place, and of its width.
 _ODD = [np.uint64(xxhash.xxh64_intdigest(f"place {j}") | 1) for j in range(WIDTH + 1)]
@@ -167,11 +171,19 @@ def _short_runs(items: list[tuple[list[str], bool, int]]) -> list[bool]:
     return listed
 
 
-def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", stitched: bool = True) -> DataFrame:
-    """Of every page ``id_col``, ``chars``, ``list_share``, ``link_share``, ``replicated`` (share in list material whose phrases stand on other hosts too) and ``stitched`` (the same of all text).
+def _host(host_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000"))).alias("host")
 
-    Without ``stitched`` that column is left out; then only shingles that list material has are counted, in all text as before.
-    """
+
+def _shares(rows: DataFrame, id_col: str, *stitched: str) -> DataFrame:
+    """Shares of the page of what was counted in characters."""
+    part = lambda c: F.coalesce(c / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0))
+    shares = [(F.col("links") + F.col("listed"), "list_share"), (F.col("links"), "link_share"), (F.col("shared"), "replicated"), *((F.col(c), c) for c in stitched)]
+    return rows.select(F.col("id").alias(id_col), "chars", *(part(c).alias(n) for c, n in shares))
+
+
+def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Of every page ``id_col``, ``chars``, ``list_share``, ``link_share``, ``replicated`` (share in list material whose phrases stand on other hosts too) and ``stitched`` (the same of all text)."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,33 +225,44 @@ def evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
             lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), x) for e, x in ((ends, parts), (new_ends, sent_now))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(totals), long(links), long(listed), *lists], names=["id", "host", "chars", "links", "listed", "items", "new"])
 
-    pages = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000"))).alias("host"), F.col(text_col))
+    pages = df.select(F.col(id_col).alias("id"), _host(host_col), F.col(text_col))
     schema = f"id {id_type}, host long, chars long, links long, listed long, items array<struct<k:long,n:int,own:boolean,p:long>>, new array<struct<k:long,h:array<long>>>"
     pages = settle(pages.mapInArrow(run, schema), "p10-pages")
     each = pages.select("id", "host", F.explode("items").alias("i")).select("id", "host", "i.*")
     every = pages.select(F.explode("new").alias("i")).select("i.k", F.size("i.h").alias("of"), "i.h")
-    holders = each
-    if stitched:
-        phrases = every.groupBy("k").agg(F.first("of").alias("of"), F.first("h").alias("h")).select("k", "of", F.explode("h").alias("h"))
-    else:
-        few = lambda x: F.broadcast(x[0]) if x[1]["rows"] <= BROADCAST_KEYS else x[0]
-        own = few(measured(each.where("own").select("k").distinct(), "p10-own"))
-        asked = few(measured(every.join(own, "k", "left_semi").select(F.explode("h").alias("h")).unionByName(each.where("p IS NOT NULL").select(F.col("p").alias("h"))).distinct(), "p10-asked"))
-        met = measured(every.select("k", "of", F.explode("h").alias("h")).join(asked, "h", "left_semi").distinct(), "p10-met")
-        phrases, keys = met[0].select("k", "of", "h"), measured(met[0].select("k").distinct(), "p10-keys")
-        holders = each.join(few(keys), "k", "left_semi")
-    holders = holders.groupBy("k").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+    phrases = every.groupBy("k").agg(F.first("of").alias("of"), F.first("h").alias("h")).select("k", "of", F.explode("h").alias("h"))
+    holders = each.groupBy("k").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
     phrases = phrases.join(holders, "k")
     pairs = each.where("p IS NOT NULL").select(F.col("p").alias("h"), F.col("host").alias("lo"), F.col("host").alias("hi"))
     elsewhere = phrases.select("h", "lo", "hi").unionByName(pairs).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
     share = phrases.join(elsewhere, "h").groupBy("k").agg((F.count("*") / F.first("of")).alias("part"))
     paired = each.select("p").where("p IS NOT NULL").distinct().join(elsewhere, F.col("p") == F.col("h"), "left_semi").select("p", F.lit(1.0).alias("whole"))
-    met = (each if stitched else each.where("own")).join(share, "k", "left").join(paired, "p", "left").select("id", "own", (F.col("n") * F.coalesce("whole", "part", F.lit(0.0))).alias("n"))
+    met = each.join(share, "k", "left").join(paired, "p", "left").select("id", "own", (F.col("n") * F.coalesce("whole", "part", F.lit(0.0))).alias("n"))
     met = met.groupBy("id").agg(F.sum(F.when(F.col("own"), F.col("n"))).alias("shared"), F.sum("n").alias("stitched"))
-    rows = pages.select("id", "chars", "links", "listed").join(met if stitched else met.drop("stitched"), "id", "left")
-    part = lambda c: F.coalesce(c / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0))
-    shares = [part(c).alias(n) for c, n in ((F.col("links") + F.col("listed"), "list_share"), (F.col("links"), "link_share"), (F.col("shared"), "replicated"), *([(F.col("stitched"), "stitched")] if stitched else []))]
-    return rows.select(F.col("id").alias(id_col), "chars", *shares)
+    return _shares(pages.select("id", "chars", "links", "listed").join(met, "id", "left"), id_col, "stitched")
+
+
+def list_evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``evidence`` without ``stitched``: only shingles that list material has are counted, in all text as there. The text is read twice."""
+    spark = df.sparkSession
+    few = lambda x: F.broadcast(x[0]) if x[1]["rows"] <= BROADCAST_KEYS else x[0]
+    text = F.col(text_col).cast("string")
+    pages = df.select(F.col(id_col).alias("id"), _host(host_col), listing(spark, text).alias("l")).select("id", "host", "l.*")
+    pages = settle(pages, "p10-pages")
+    items = pages.select("id", "host", F.explode(F.arrays_zip("k", "n", "p")).alias("i")).select("id", "host", "i.*")
+    phrases = pages.select(F.explode(F.arrays_zip("of", "h")).alias("i")).select(F.col("i.of").alias("k"), "i.h").distinct()  # a pair is its own shingle
+    phrases, figures = measured(phrases, "p10-phrases")
+    asked = asked_file(phrases, "h", figures["rows"])
+    everywhere = df.select(_host(host_col), F.explode(page_shingles(spark, text, asked)).alias("h")).groupBy("h").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+    pairs = items.where("p IS NOT NULL").groupBy(F.col("p").alias("h")).agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+    elsewhere = everywhere.unionByName(pairs).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", F.lit(1.0).alias("met"))
+    share = phrases.join(elsewhere, "h", "left").groupBy("k").agg((F.count("met") / F.count("*")).alias("part")).where("part > 0")
+    share = few(measured(share, "p10-share"))
+    paired = items.where("p IS NOT NULL").join(share.select(F.col("k").alias("p"), F.col("part").alias("whole")), "p", "left")
+    met = items.where("p IS NULL").join(share, "k").select("id", (F.col("n") * F.col("part")).alias("n"))
+    met = met.unionByName(paired.join(share, "k", "left").select("id", (F.col("n") * F.coalesce("whole", "part", F.lit(0.0))).alias("n")))
+    met = met.groupBy("id").agg(F.sum("n").alias("shared"))
+    return _shares(pages.select("id", "chars", "links", "listed").join(met, "id", "left"), id_col)
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_chars: int = 200, own_weight: float = 0.7, replication: bool = True) -> DataFrame:
@@ -247,7 +270,7 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
     ``replication=False`` takes every phrase for one of its own host.
     """
-    seen = evidence(df, id_col, text_col, host_col, stitched=False)
+    seen = list_evidence(df, id_col, text_col, host_col)
     elsewhere = F.col("replicated") if replication else F.lit(0.0)
     share = F.col("link_share") + elsewhere + own_weight * (F.col("list_share") - F.col("link_share") - elsewhere)
     return seen.where((F.col("chars") >= least_chars) & (share > 0.5)).select(id_col)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p4_kernel, p4_sweep, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
-from ferrosieve.tables import drop, settle, table
+from ferrosieve.tables import drop, settle, shared_dir, table
 
 from ..oracle import assert_same, connect
 
@@ -531,3 +531,27 @@ def test_shingles_of_the_whole_page(spark):
     seen = {r.doc_id: r for r in p10_stuffing.evidence(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert 0.4 < seen[1].stitched < 0.8 and 0.5 < seen[2].stitched < 0.9 and seen[3].stitched == seen[4].stitched == seen[5].stitched == 0.0
     assert all(r.replicated == r.list_share == 0.0 for r in seen.values())
+
+
+def test_list_material_on_the_jvm(spark):
+    """The compiled pass gives what the plain one gives, on texts of odd letters, links, masked numbers and repeated words."""
+    rng = random.Random(10)
+    odd = ["radar", "Radar", "cover", "ΟΔΟΣ", "İstanbul", "x²", "٣ km", "naïve-été", "l'eau", "a-漢字", "レーダー激安", "漢字", "価格。", "𝒳y", "😀", "snake_case", "v2.0", "www.", "www.a", "http://", "https://shop.invalid/a,b", "xhttp://y", "- ", " – ", " ", "\x1c", " ", "·", ".", "!", "？", ",", "\n", ", ", " ", " ", " "]
+    phrases = ["".join(rng.choice(odd) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    texts = [rng.choice(["", ", ", "\n", " "]).join(rng.choice(phrases) for _ in range(rng.randrange(0, 40))) for _ in range(150)]
+    texts += [" ".join(rng.choice(["radar", "cover", "shop", "7", rng.choice("abcdefgh")]) for _ in range(rng.randrange(5, 120))) + rng.choice([". ", ", "]) + rng.choice(phrases) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, rng.choice(["a", "b", None])) for i, t in enumerate([*texts, None, "radar, " * 5000])], "doc_id long, text string, source string")
+    want = {r.doc_id: r for r in p10_stuffing.evidence(df).collect()}
+    got = {r.doc_id: r for r in p10_stuffing.list_evidence(df).collect()}
+    for i, r in want.items():
+        assert got[i] == pytest.approx((r.doc_id, r.chars, r.list_share, r.link_share, r.replicated)), (texts[i] if i < len(texts) else i)
+    assert len(got) == len(want) and 60 < sum(0 < r.replicated < 1 for r in want.values()) and sum(r.link_share > 0 for r in want.values()) > 60
+
+
+def test_stuffed_pages_keep_less_than_the_input(spark, sf_dir):
+    """What is kept between the steps is list material, not the shingles of all text."""
+    at = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    assert p10_stuffing.found(table(spark, sf_dir, "documents")).count()
+    kept = [os.path.join(at, d, f) for d in set(os.listdir(at)) - before for f in ([""] if os.path.isfile(os.path.join(at, d)) else os.listdir(os.path.join(at, d)))]
+    assert 0 < sum(os.path.getsize(f.rstrip("/")) for f in kept) < os.path.getsize(os.path.join(sf_dir, "documents.parquet"))

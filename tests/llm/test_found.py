@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ferrosieve.llm import p1_repair, p2_ledger, p3_split, p4_history, p4_kernel, p4_sweep, p5_names, p6_pairs, p7_canon, p8_encode, p9_pack, p10_stuffing, queries
@@ -305,6 +306,26 @@ def test_sweep_on_the_jvm(spark, monkeypatch, piece):
     assert not any(os.path.exists(f.removeprefix("file://")) for f in both.inputFiles())
 
 
+def test_words_on_the_jvm(spark):
+    """Words are parted and hashed as in Python."""
+    texts = ["Radar  RADAR\u00a0x\u2003\u0085y\x1cz ", "Ünï 漢字\u3000😀😀 ΟΔΟΣ", " ", "", None]
+    got = {r.cls: bytes(r.words) for r in p4_kernel.words(spark.createDataFrame(list(enumerate(texts)), "cls long, text string")).collect()}
+    assert got == {i: b"".join(xxhash.xxh32_intdigest(w).to_bytes(4, "little") for w in (t or "").lower().split()) for i, t in enumerate(texts)}
+
+
+def test_loads_leave_no_tables(spark):
+    """What a load was read from and what it met in the history is gone after it; its result stays."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(80)) for _ in range(12)]
+    rows = [{"row_id": i, "batch_no": i // 8, "full_text": texts[i % 12]} for i in range(24)]
+    at = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    got = {tuple(r) for r in p4_history.found(records(spark, rows), least_rows=1).collect()}
+    new = set(os.listdir(at)) - before
+    assert got == plain_history(rows) and len(got) == 12
+    assert not [d for d in new if d.startswith(("p4-old", "p4-leads"))] and not [d for n in new if n.startswith(("p4-prints", "p4-chunks")) for d in os.listdir(os.path.join(at, n)) if d.startswith("load=")]
+
+
 def test_common_words():
     assert p4_history.common_words("a b c d".split(), "b x c a d".split()) == 3 and p4_history.common_words([], ["a"]) == 0
 

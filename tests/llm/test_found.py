@@ -306,6 +306,34 @@ def test_sweep_on_the_jvm(spark, monkeypatch, piece):
     assert not any(os.path.exists(f.removeprefix("file://")) for f in both.inputFiles())
 
 
+def test_sweep_on_the_jvm_counts_many_texts_at_once(spark):
+    """Several longs of texts, words of one text, of a few and of most, counts near the share, and lengths of all kinds."""
+    rng = random.Random(5)
+    bases = [[f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([7, 33, 130, 260]))] for _ in range(40)]
+    texts = [" ".join(drift(rng, bases[rng.randrange(40)], rng.choice([0.2, 0.42, 0.44, 0.46, 0.48]))) for _ in range(700)]
+    both = settle(p4_kernel.words(spark.createDataFrame(list(enumerate(texts)), "cls long, text string")), "words")
+    own = both.where("cls >= 200")
+    got = p4_sweep.swept(own, own.count(), both.where("cls < 200"), 0.55).collect()
+    sweep = p4_sweep.Sweep(p4_sweep.Piece.of(list(range(200, 700)), texts[200:]), 0.55).ready()
+    want = set(sweep.similar(list(range(700)), texts))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 300
+
+
+def test_leads_are_found_without_moving_texts(spark):
+    """The classes of a batch are sent to its texts, not both shuffled, whatever the planner thinks of their size."""
+    df = records(spark, [{"row_id": i, "batch_no": 0, "full_text": f"text {i // 2} of a batch"} for i in range(8)])
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        leads = p4_history.prepare(df, [0], "batch_no", p4_history.Rule())[0].leads
+        plan = leads._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.cls for r in leads.collect()) == [0, 2, 4, 6]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_words_on_the_jvm(spark):
     """Words are parted and hashed as in Python."""
     texts = ["Radar  RADAR\u00a0x\u2003\u0085y\x1cz ", "Ünï 漢字\u3000😀😀 ΟΔΟΣ", " ", "", None]
